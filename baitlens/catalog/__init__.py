@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES, Query
 
-MODULES = ["urls"]
+MODULES = ["urls", "texts", "splits"]
 
 
 def _load() -> None:

@@ -122,6 +122,14 @@ def fingerprint(col: Column, chars: int | None = 256) -> Column:
     return F.md5(normal if chars is None else F.substring(normal, 1, chars))
 
 
+def group_key(modality: Column, domain: Column, message: Column | None = None) -> Column:
+    """``modality:domain``; without a domain one shared bucket, or one bucket per message where it is given."""
+    kind = F.lower(F.coalesce(modality, F.lit("url")))
+    known = F.nullif(domain, F.lit(""))
+    alone = F.lit("no-domain") if message is None else F.concat(F.lit("nodom:"), fingerprint(message))
+    return F.concat(kind, F.lit(":"), F.coalesce(known, alone))
+
+
 def preview(col: Column, chars: int = 100) -> Column:
     """Display column: the first characters and an ellipsis where text was longer."""
     return F.concat(F.substring(col, 1, chars), F.when(F.length(col) > chars, "...").otherwise(""))

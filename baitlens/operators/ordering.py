@@ -47,15 +47,15 @@ def with_rank(df: DataFrame, order_by: Sequence[str | Column], name: str = "rank
     before = Window.partitionBy(*group_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*group_by)
     counts = (
-        pinned.groupBy(*group_by, "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        pinned.groupBy(*group_by, "_part").agg(F.min("_seq").alias("_rank_first"), F.count("*").alias("_rank_n"))
+        .withColumn("_rank_before", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)))
     )
     extra = []
     if total:
-        counts = counts.withColumn(total, F.sum("_n").over(everything))
+        counts = counts.withColumn(total, F.sum("_rank_n").over(everything))
         extra = [total]
     ranked = _with_offsets(pinned, counts, group_by)
-    position = F.col("_seq") - F.col("_first") + F.col("_before") + 1
+    position = F.col("_seq") - F.col("_rank_first") + F.col("_rank_before") + 1
     return ranked.select(*df.columns, position.alias(name), *extra)
 
 
@@ -105,10 +105,10 @@ def exact_quantiles(values: DataFrame, column: str, quantiles: Sequence[float],
     """
     clean = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     counted = clean.groupBy(*group_by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    summed = with_running_sums(counted, ["_v"], {"_upto": "_c"}, group_by, totals={"_n": "_c"})
+    summed = with_running_sums(counted, ["_v"], {"_upto": "_c"}, group_by, totals={"_rank_n": "_c"})
     aggregates = []
     for i, q in enumerate(quantiles):
-        position = (F.col("_n") - 1) * F.lit(float(q))
+        position = (F.col("_rank_n") - 1) * F.lit(float(q))
         low, high = F.floor(position), F.ceil(position)
 
         def value_at(index: Column) -> Column:
