@@ -135,7 +135,7 @@ def campaign_separation(spark: SparkSession, sf: str) -> DataFrame:
 
 TIMED_SQL = """
 ev AS (SELECT event_id, ts, CASE WHEN event_id % 50 = 7 THEN 'test' WHEN ts < TIMESTAMP '2024-01-16' THEN 'train'
-  WHEN ts < TIMESTAMP '2024-01-23' OR event_id % 9 = 0 THEN 'val' ELSE 'test' END AS split FROM events),
+  WHEN ts < TIMESTAMP '2024-01-23' THEN 'val' ELSE 'test' END AS split FROM events),
 a AS (SELECT max(ts) FILTER (WHERE split = 'train') AS tm FROM ev),
 b AS (SELECT max(ts) AS vm FROM ev, a WHERE split = 'val' AND ts > tm)"""
 
@@ -148,7 +148,7 @@ WHERE split = 'train' OR (split = 'val' AND ts > tm) OR (split = 'test' AND ts >
 def temporal_order(spark: SparkSession, sf: str) -> DataFrame:
     i, ts = F.col("event_id"), F.col("ts")
     split = (F.when(i % 50 == 7, "test").when(ts < F.lit("2024-01-16").cast("timestamp_ntz"), "train")
-             .when((ts < F.lit("2024-01-23").cast("timestamp_ntz")) | (i % 9 == 0), "val").otherwise("test"))
+             .when(ts < F.lit("2024-01-23").cast("timestamp_ntz"), "val").otherwise("test"))
     events = read_table(spark, sf, "events").select("event_id", ts.alias("timestamp"), split.alias("split"))
     return finish(enforce_time_order(events).drop("timestamp"))
 

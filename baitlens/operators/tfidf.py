@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import SPACE, WORD
-from ..functions.text import characters
 from ..session import broadcast_if_small
 
 
@@ -45,36 +44,37 @@ def strip_accents(col: Column) -> Column:
     return F.when(out.rlike(multi), spelled).otherwise(out)
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``: an expression inside a lambda runs per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _windows(items: Column, low: int, high: int, join) -> Column:
+    """All runs of ``low`` to ``high`` neighbouring items, joined."""
+    def of_size(xs: Column, n: int) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(1), F.size(xs) - (n - 1)), lambda i: join([F.element_at(xs, i + k) for k in range(n)])
+        )
+        return F.when(F.size(xs) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return _bind(items, lambda xs: F.concat(*[of_size(xs, n) for n in range(low, high + 1)]))
+
+
 def char_grams(col: Column, low: int, high: int) -> Column:
     """Character n-grams of the text, whitespace runs taken as one blank."""
-    chars = characters(F.regexp_replace(col, rf"[{SPACE}]{{2,}}", " "))
+    normal = F.regexp_replace(col, rf"[{SPACE}]{{2,}}", " ")
 
-    def grams(n: int) -> Column:
-        def of(cs: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.size(cs) - (n - 1)),
-                lambda i: F.concat(*[F.element_at(cs, (i + k).cast("int")) for k in range(n)]),
-            )
+    def of_size(t: Column, n: int) -> Column:
+        # look ahead n characters from every character on
+        return F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
-        return F.when(F.size(chars) >= n, of(chars)).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    return _bind(normal, lambda t: F.concat(*[of_size(t, n) for n in range(low, high + 1)]))
 
 
 def word_grams(col: Column, low: int, high: int) -> Column:
     """Word n-grams, words being runs of word characters."""
     words = F.regexp_extract_all(col, F.lit(rf"([{WORD}]+)"), F.lit(1))
-
-    def grams(n: int) -> Column:
-        def of(ws: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.size(ws) - (n - 1)),
-                lambda i: F.concat_ws(" ", *[F.element_at(ws, (i + k).cast("int")) for k in range(n)]),
-            )
-
-        return F.when(F.size(words) >= n, of(words)).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    return _windows(words, low, high, lambda parts: F.concat_ws(" ", *parts))
 
 
 def normal_text(col: Column, accents: bool = False) -> Column:
