@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES, Query
 
-MODULES = ["urls", "texts", "splits"]
+MODULES = ["urls", "texts", "splits", "quality", "numeric", "vectors", "files", "streams"]
 
 
 def _load() -> None:

@@ -239,7 +239,7 @@ def bootstrap_ci(scored: DataFrame, threshold: float = 0.5, target_fpr: float =
     )
     per_part = offsets.groupBy("_part").agg(
         F.sort_array(F.collect_list(F.struct("boot", "pos_before", "neg_before", "n_neg"))).alias("_o")
-    ).select("_part", *[F.transform("_o", lambda o, f=f: o[f]).alias(f) for f in LEAD_COLUMNS])
+    ).select("_part", *[_field("_o", f).alias(f) for f in LEAD_COLUMNS])
     starts = pinned.groupBy("_part").agg(F.min("_seq").alias("_first"))
     # one row of 3 * n_boot numbers per range partition, so its size follows the partition count; only the first
     # row of a partition carries the numbers into the task
@@ -295,6 +295,10 @@ def bootstrap_ci(scored: DataFrame, threshold: float = 0.5, target_fpr: float =
     )
 
 
+def _field(array: str, name: str) -> Column:
+    return F.transform(array, lambda o: o[name])
+
+
 def _resamples(batches: Iterator[pd.DataFrame], seed: int, n_boot: int, lead_columns: Sequence[str] = (),
                chunk: int = 1000) -> Iterator[tuple]:
     """Per chunk of a task's sorted scores: the range, the scores, drawn weights (resample x score), lead numbers."""

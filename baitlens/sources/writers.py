@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,23 @@ def load_artifacts(spark: SparkSession, folder: str) -> Artifacts:
     return Artifacts(PipelineModel.load(f"{folder}/model"), profile, settings)
 
 
+def write_json_documents(df: DataFrame, path: str, files: int) -> str:
+    """Each output file is one JSON array, written row by row."""
+    def lines(batches):
+        yield pd.DataFrame({"value": ["["]})
+        started = False
+        for batch in batches:
+            if len(batch):
+                glued = ("," if started else "") + ",\n".join(batch["value"])
+                started = True
+                yield pd.DataFrame({"value": [glued]})
+        yield pd.DataFrame({"value": ["]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(files)
+    rows.mapInPandas(lines, "value string").write.text(path)
+    return path
+
+
 def append_history(report: DataFrame, path: str, ts=None) -> None:
     """Append a drift report with its time to the history."""
     stamped = report.withColumn("ts", F.current_timestamp() if ts is None else ts)
