@@ -17,7 +17,7 @@ from ..operators.schema import (
     sanitise_names, sanitise_names_ascii, standardise_columns, synthesise_text,
 )
 from ..operators.splits import campaign_ids
-from ..session import read_table
+from ..session import read_spread, read_table
 from .base import finish, outputs, query, sql_rows, sql_text
 from .urls import contained_sql, entropy_sql, hits_sql
 
@@ -46,7 +46,7 @@ def norm_sql(col: str) -> str:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     extra = spark.createDataFrame(TEXT_ROWS, "doc_id bigint, text string")
-    return read_table(spark, sf, "documents").select("doc_id", "text").unionByName(extra)
+    return read_spread(spark, sf, "documents").select("doc_id", "text").unionByName(extra)
 
 
 def _urgency_sql(col: str) -> str:

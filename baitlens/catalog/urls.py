@@ -11,7 +11,7 @@ from ..functions.url import (
     advanced_url_features, audit_domain, basic_url_features, host_domain, sample_tool_features, with_url_parts,
 )
 from ..operators.audit import audit, shared_domains
-from ..session import read_table
+from ..session import read_spread, read_table
 from .base import finish, outputs, query, split_column, split_sql, sql_rows
 
 # literal rows next to the whole table, so that rare cases are met; the SQL repeats them
@@ -38,7 +38,7 @@ parsed AS (
 
 def urls(spark: SparkSession, sf: str) -> DataFrame:
     extra = spark.createDataFrame(URL_ROWS, "page_id bigint, url string")
-    return read_table(spark, sf, "pages").select("page_id", "url").unionByName(extra)
+    return read_spread(spark, sf, "pages").select("page_id", "url").unionByName(extra)
 
 
 def entropy_sql(col: str, epsilon: str = "0") -> str:

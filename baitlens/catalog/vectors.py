@@ -17,7 +17,7 @@ from ..operators.metrics import metrics_row
 from ..plans import models as ml
 from ..plans.config import TrainingConfig
 from ..plans.stages import Cleaning, UrlFeatures
-from ..session import materialise, read_table, scratch_path
+from ..session import materialise, read_spread, read_table, scratch_path
 from ..sources.writers import load_artifacts, save_artifacts
 from .base import finish, outputs, query, split_column
 from .splits import _grams_sql
@@ -38,7 +38,7 @@ wt AS (SELECT {key}, term, tf, r / sqrt(sum(r * r) OVER (PARTITION BY {key})) AS
 WITH {BENCH_SQL}, {weights_sql('b', 'item_id', _grams_sql('b', 'item_id', 3, 5), '3')}
 SELECT {outputs('item_id:i term:s tf:i weight:d')} FROM wt""")
 def tfidf_char(spark: SparkSession, sf: str) -> DataFrame:
-    table = tf.tfidf(read_table(spark, sf, "benchmark"), "item_id", "text", "char", 3, 5)
+    table = tf.tfidf(read_spread(spark, sf, "benchmark"), "item_id", "text", "char", 3, 5)
     return finish(table.select("item_id", "term", "tf", "weight"))
 
 
@@ -51,7 +51,7 @@ WORD_SQL = f"{TALK_SQL}, {WORDS_SQL}, " + weights_sql("b", "row_id", WORD_TF_SQL
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", "role")
+    return read_spread(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", "role")
 
 
 def word_weights(spark: SparkSession, sf: str) -> DataFrame:

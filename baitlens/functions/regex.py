@@ -13,6 +13,18 @@ BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _CLASSES = {"w": WORD, "d": DIGIT, "s": SPACE}
 
 
+_SPECIAL = set("\\()[]{}.*+?^$")
+
+
+def _with_first_letters(body: str) -> str:
+    """A choice of plain words is guarded by its first letters, so most positions fail after one test."""
+    words = body.split("|")
+    if len(words) < 2 or any(not w or _SPECIAL & set(w) for w in words):
+        return body
+    first = "".join(dict.fromkeys(w[0] for w in words))
+    return f"(?=[{first}])(?:{body})"
+
+
 def unicode_pattern(pattern: str) -> str:
     """Rewrite shorthand classes to Unicode ranges, fold case on Unicode, treat only ``\\n`` as line end."""
     out: list[str] = []
@@ -42,4 +54,4 @@ def unicode_pattern(pattern: str) -> str:
     flags, body = "(?d)", "".join(out)
     if body.startswith("(?i)"):
         flags, body = "(?iud)", body[len("(?i)"):]
-    return flags + body
+    return flags + _with_first_letters(body)

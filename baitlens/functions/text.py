@@ -12,10 +12,10 @@ from . import fixed_values as fv
 from .regex import DIGIT, SPACE, WORD, unicode_pattern
 
 CHARSETS = {
-    "arabic": r"[؀-ۿ]",
-    "latin": r"[A-Za-z]",
-    "digits": rf"[{DIGIT}]",
-    "punct": rf"[^{WORD}{SPACE}]",
+    "arabic": "\u0600-\u06ff",
+    "latin": "A-Za-z",
+    "digits": DIGIT,
+    "punct": rf"^{WORD}{SPACE}",
 }
 
 
@@ -28,6 +28,11 @@ def count_matches(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
+def count_class(col: Column, characters: str) -> Column:
+    """How many characters belong to a class: whole runs are cut out, not single characters."""
+    return F.length(col) - F.length(F.regexp_replace(col, f"[{characters}]+", ""))
+
+
 def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
@@ -52,25 +57,26 @@ def distinct_characters(col: Column) -> Column:
 def entropy(col: Column, epsilon: float = 0.0) -> Column:
     """Shannon entropy over characters in bits; ``epsilon`` is added inside the logarithm."""
     size = F.length(col).cast("double")
+    # sorted characters: every run is one distinct character with its count
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(col, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
 
-    def term(acc: Column, ch: Column) -> Column:
-        share = (F.length(col) - F.length(F.replace(col, ch, F.lit("")))) / size
+    def add(acc: Column, run: Column) -> Column:
+        share = F.length(run) / size
         return acc - share * F.log2(share + F.lit(epsilon))
 
-    bits = F.aggregate(F.array_distinct(characters(col)), F.lit(0.0), term)
-    return F.when(F.length(col) > 0, bits).otherwise(F.lit(0.0))
+    return F.when(F.length(col) > 0, F.aggregate(runs, F.lit(0.0), add)).otherwise(F.lit(0.0))
 
 
 def longest_run(col: Column) -> Column:
-    runs = F.regexp_extract_all(col, F.lit(r"(?s)(.)\1*+"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    repeated = F.regexp_extract_all(col, F.lit(r"(?s)(.)\1++"), F.lit(0))
+    longest = F.array_max(F.transform(repeated, F.length))
+    return F.coalesce(longest, F.least(F.length(col), F.lit(1)))
 
 
 def charset_ratio(col: Column, charset: str) -> Column:
-    pattern = CHARSETS.get(charset)
-    if pattern is None:
+    if charset not in CHARSETS:
         return F.lit(0.0)
-    return count_matches(col, pattern) / F.greatest(F.length(col), F.lit(1))
+    return count_class(col, CHARSETS[charset]) / F.greatest(F.length(col), F.lit(1))
 
 
 def word_count(col: Column) -> Column:

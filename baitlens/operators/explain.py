@@ -100,7 +100,7 @@ def token_contributions(weights: DataFrame, coefficients: DataFrame, doc: str, t
     parts = joined.select(doc, "term", (F.col("weight") * F.col("coef")).alias("contribution")).where(
         F.col("contribution") != 0)
     entry = F.struct((-F.abs("contribution")).alias("k"), "term", "contribution")
-    ranked = parts.groupBy(doc).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, 2 * top).alias("_top"))
+    ranked = parts.groupBy(doc).agg(F.slice(F.sort_array(F.collect_list(entry)), 1, 2 * top).alias("_top"))
 
     def side(sign: int) -> Column:
         chosen = F.filter("_top", lambda e: e["contribution"] * sign > 0)

@@ -129,7 +129,7 @@ def fpr_targeted_threshold(scored: DataFrame, group_by: Sequence[str] = (), targ
     groups = counts.select(*group_by).distinct() if group_by else counts.agg(F.count("*").alias("_any")).drop("_any")
     seeds = _left_by_group(groups, seeds, group_by)
     seed = F.coalesce(next_after(F.col("q0")), F.lit(1.0))
-    grids = seeds.withColumn("_seed", seed).withColumn("_g", F.array_sort(F.array_distinct(F.concat(
+    grids = seeds.withColumn("_seed", seed).withColumn("_g", F.sort_array(F.array_distinct(F.concat(
         F.array("_seed"),
         linspace(F.greatest(F.lit(0.0), F.col("_seed") - 0.05), F.least(F.lit(1.0), F.col("_seed") + 0.05), 201),
         linspace(F.lit(0.0), F.lit(1.0), 101),

@@ -73,3 +73,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose scan has fewer tasks than the cluster has slots is spread first: much work on few bytes."""
+    table = read_table(spark, folder, name)
+    slots = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= slots else table.repartition(slots)
