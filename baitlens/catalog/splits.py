@@ -163,7 +163,7 @@ def _grams_sql(table: str, key: str, low: int, high: int) -> str:
 # conversations in full, each turn also with a small edit, so that near copies cross the splits
 EDITED_SQL = f"""
 base AS (SELECT conv_id * 1000 + turn AS row_id, text FROM conversations
-  UNION ALL SELECT 500000000 + conv_id * 1000 + turn, CASE WHEN turn % 2 = 0 THEN text || ' ok' ELSE reverse(text) END FROM conversations),
+  UNION ALL SELECT 500000037 + conv_id * 1000 + turn, CASE WHEN turn % 2 = 0 THEN text || ' ok' ELSE reverse(text) END FROM conversations),
 sp AS (SELECT row_id, regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]{{2,}}', ' ', 'g') AS t, {split_sql('row_id')} AS split FROM base)"""
 
 
@@ -171,7 +171,7 @@ def edited_turns(spark: SparkSession, sf: str) -> DataFrame:
     talks = read_table(spark, sf, "conversations")
     key = F.col("conv_id") * 1000 + F.col("turn")
     edit = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" ok"))).otherwise(F.reverse("text"))
-    both = talks.select(key.alias("row_id"), "text").unionByName(talks.select((key + 500_000_000).alias("row_id"), edit.alias("text")))
+    both = talks.select(key.alias("row_id"), "text").unionByName(talks.select((key + 500_000_037).alias("row_id"), edit.alias("text")))
     return both.withColumn("split", split_column("row_id"))
 
 

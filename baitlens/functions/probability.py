@@ -62,7 +62,7 @@ def binary_metrics(tp: Column, fp: Column, tn: Column, fn: Column, cost_fp: floa
                    cost_fn: float = fv.COST_FN, f1_epsilon: float = 1e-12) -> dict[str, Column]:
     """Rates of a confusion table; an empty denominator gives 0."""
     def share(top: Column, bottom: Column) -> Column:
-        return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+        return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
     precision, recall = share(tp, tp + fp), share(tp, tp + fn)
     return {

@@ -123,7 +123,7 @@ def _missing(df: DataFrame, columns: dict[str, Column]) -> dict[str, Column]:
 
 
 def _ratio(count: Column, col: Column) -> Column:
-    return F.when(F.length(col) > 0, count / F.length(col)).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(count, F.length(col)), F.lit(0.0))
 
 
 def advanced_url_features(df: DataFrame, column: str = "url") -> DataFrame:
@@ -173,7 +173,7 @@ def advanced_url_features(df: DataFrame, column: str = "url") -> DataFrame:
     sizes = F.col("_token_lengths")
     total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
     second = {
-        "avg_token_length": F.when(F.size(sizes) > 0, total / F.size(sizes)).otherwise(F.lit(0.0)),
+        "avg_token_length": F.coalesce(F.try_divide(total, F.size(sizes)), F.lit(0.0)),
         "max_token_length": F.coalesce(F.array_max(sizes), F.lit(0)),
         "anomaly_score": F.least(
             F.lit(1.0),

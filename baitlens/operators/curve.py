@@ -38,7 +38,8 @@ def score_curve(scored: DataFrame, group_by: Sequence[str] = (), score: str = "s
 
 
 def share(top: Column, bottom: Column) -> Column:
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+    """Quotient, 0 where the denominator is 0."""
+    return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
 
 def with_rates(curve: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def pr_points(curve: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """``threshold precision recall`` for every distinct score."""
     return curve.select(
         *group_by, F.col("score").alias("threshold"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         share(F.col("tp"), F.col("n_pos")).alias("recall"),
     )
 

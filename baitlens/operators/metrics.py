@@ -48,13 +48,13 @@ def ranking_metrics(curve: DataFrame, group_by: Sequence[str] = (), target_fpr:
     rated = with_rates(curve)
     order = F.col("tp") + F.col("fp")
     point = F.struct("fpr", "tpr", F.col("score").alias("threshold"))
-    floor = F.greatest(F.lit(target_fpr), F.lit(1.0) / F.col("n_neg"))
+    floor = F.greatest(F.lit(target_fpr), F.try_divide(F.lit(1.0), F.col("n_neg")))
     has_neg = F.col("n_neg") > 0
     within = F.when(F.col("corner") & has_neg & (F.col("fpr") <= floor), order)
     beyond = F.when(F.col("corner") & has_neg & (F.col("fpr") > floor), order)
     step = F.when(F.col("corner") & (F.col("fpr") <= target_fpr), order)
     pairs = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    gain = share(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))
     rows = rated.groupBy(*group_by).agg(
         F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
         F.sum(pairs).alias("_pairs"), F.sum(gain).alias("_gain"),
@@ -62,7 +62,7 @@ def ranking_metrics(curve: DataFrame, group_by: Sequence[str] = (), target_fpr:
         F.max(F.when(has_neg, floor)).alias("_target"),
     )
     a_fpr, a_tpr = F.coalesce("_a.fpr", F.lit(0.0)), F.coalesce("_a.tpr", F.lit(0.0))
-    weight = (F.col("_target") - a_fpr) / (F.col("_b.fpr") - a_fpr)
+    weight = F.try_divide(F.col("_target") - a_fpr, F.col("_b.fpr") - a_fpr)
     return rows.select(
         *group_by, "n_pos", "n_neg",
         share(F.col("_pairs"), F.col("n_pos") * F.col("n_neg")).alias("roc_auc"),
@@ -277,9 +277,9 @@ def bootstrap_ci(scored: DataFrame, threshold: float = 0.5, target_fpr: float =
     point = point_metrics(both)
     per_boot = both.select("boot", F.array(*[
         F.struct(F.lit(name).alias("metric"), col.alias("value")) for name, col in {
-            "roc_auc": F.when(valid, F.col("pairs") / (F.col("pos") * F.col("neg"))),
-            "pr_auc": F.when(valid, F.col("gain") / F.col("pos")),
-            "recall_at_fpr": F.when(valid, F.col("best") / F.col("pos")),
+            "roc_auc": F.when(valid, F.try_divide("pairs", F.col("pos") * F.col("neg"))),
+            "pr_auc": F.when(valid, F.try_divide("gain", "pos")),
+            "recall_at_fpr": F.when(valid, F.try_divide("best", "pos")),
             "accuracy": point["accuracy"], "precision": point["precision"], "recall": point["recall"],
             "f1": point["f1"],
         }.items()

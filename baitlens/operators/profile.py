@@ -39,7 +39,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.var_samp("value").alias("var_samp"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("_skew"),
     )
-    adjusted = F.when(n >= 3, F.col("_skew") * F.sqrt(n * (n - 1)) / (n - 2))
+    adjusted = F.when(n >= 3, F.try_divide(F.col("_skew") * F.sqrt(n * (n - 1)), n - 2))
     return per_column.withColumn("skew", F.nanvl(adjusted, F.lit(None).cast("double"))).drop("_skew")
 
 

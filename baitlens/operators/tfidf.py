@@ -5,11 +5,13 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import SPACE, WORD
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
+
+NARROW_ROW_LIMIT = 1_000_000  # rows of a short term and two numbers
 
 
 @cache
@@ -109,11 +111,10 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float =
 
 def weigh(counts: DataFrame, terms: DataFrame, doc: str) -> DataFrame:
     """Rows ``doc term tf df weight`` with unit length per document; terms outside the vocabulary drop out."""
-    raw = counts.join(broadcast_if_small(terms), "term").withColumn("_raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(F.col(doc).alias("_doc")).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norms, raw[doc] == norms["_doc"]).select(
-        *counts.columns, "df", (F.col("_raw") / F.col("_norm")).alias("weight")
-    )
+    raw = counts.join(broadcast_if_small(terms, NARROW_ROW_LIMIT), "term").withColumn("_raw", F.col("tf") * F.col("idf"))
+    # a document's terms are bounded by its length
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(doc)))
+    return raw.select(*counts.columns, "df", (F.col("_raw") / norm).alias("weight"))
 
 
 def fit_min_df(n_docs: int) -> int:
@@ -129,4 +130,4 @@ def tfidf(df: DataFrame, doc: str, column: str, analyzer: str = "char", low: int
     counts = term_counts(df, doc, column, analyzer, low, high, accents)
     base = counts if fit_on is None else term_counts(fit_on, doc, column, analyzer, low, high, accents)
     terms = vocabulary(base, n_docs, fit_min_df(n_docs) if min_df is None else min_df, max_df, max_features)
-    return weigh(counts, terms, doc)
+    return weigh(counts, materialise(terms, "vocabulary"), doc)

@@ -96,7 +96,7 @@ def threshold_at_fpr(scored: DataFrame, group_by: Sequence[str] = (), target_fpr
 def recall_at_precision(scored: DataFrame, group_by: Sequence[str] = (), min_precision: float = 0.88) -> DataFrame:
     """Largest recall with enough precision; the curve's end (threshold 1, recall 0, precision 1) always qualifies."""
     rated = with_rates(score_curve(scored, group_by)).withColumn(
-        "precision", F.col("tp") / (F.col("tp") + F.col("fp"))
+        "precision", share(F.col("tp"), F.col("tp") + F.col("fp"))
     )
     order = F.when(F.col("precision") >= min_precision, F.struct(F.col("tpr"), -F.col("score")))
     picked = rated.groupBy(*group_by).agg(F.max_by(F.struct("score", "tpr", "precision"), order).alias("_b"))
