@@ -198,10 +198,9 @@ def tester_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = read_table(spark, sf, "pages").select("page_id", "url")
-    titled = read_table(spark, sf, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("email_subject"))
-    return pages.join(titled, "page_id").withColumn("split", split_column("page_id"))
+    return read_table(spark, sf, "pages").select(
+        "page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("email_subject"),
+        split_column("page_id").alias("split"))
 
 
 SPLIT_PAGES_SQL = f"""

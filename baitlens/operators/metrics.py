@@ -37,7 +37,10 @@ def class_balance(df: DataFrame, label: str = "label", group_by: Sequence[str] =
 def value_shares(df: DataFrame, column: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Counts and shares per value."""
     counts = df.groupBy(*group_by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group_by)))
+    if not group_by:
+        return counts.withColumn("share", F.try_divide("n", df.agg(F.count("*")).scalar()))
+    totals = df.groupBy(*group_by).agg(F.count("*").alias("_total"))
+    return _join_groups(counts, totals, group_by).withColumn("share", F.try_divide("n", "_total")).drop("_total")
 
 
 def ranking_metrics(curve: DataFrame, group_by: Sequence[str] = (), target_fpr: float = fv.TARGET_FPR) -> DataFrame:
