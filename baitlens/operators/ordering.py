@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, reliable_checkpoint
+from ..session import broadcast_if_small, materialise, reliable_checkpoint
+
+SKETCH_ACCURACY = 10_000
 
 
 def _as_column(c: str | Column) -> Column:
@@ -101,25 +103,72 @@ def exact_quantiles(values: DataFrame, column: str, quantiles: Sequence[float],
                     group_by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles ``q0 q1 ...`` per group; nulls and NaN are left out.
 
-    Equal values are merged first, so neither a frequent value nor a wide range lands in one task.
+    A sketch brackets each order statistic; a second scan counts what lies below the bracket and keeps only the
+    values inside it, equal ones merged. Nothing is sorted but those. Should a bracket miss its statistic, all
+    distinct values are ordered instead.
     """
     clean = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    counted = clean.groupBy(*group_by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    summed = with_running_sums(counted, ["_v"], {"_upto": "_c"}, group_by, totals={"_rank_n": "_c"})
+    clean = clean.select(*group_by, F.col(column).cast("double").alias("_v"))
+    names = list(group_by) or ["_all"]
+    if not group_by:
+        clean = clean.withColumn("_all", F.lit(1))
+    picked = materialise(_bracketed(clean, quantiles, names), "quantiles")
+    outputs = [f"q{i}" for i in range(len(quantiles))]
+    missed = F.lit(False)
+    for q in outputs:
+        missed = missed | F.col(q).isNull()
+    if picked.where(missed).limit(1).count():
+        picked = _ordered(clean, quantiles, names)
+    return picked.select(*group_by, *outputs)
+
+
+def _interpolated(counted: DataFrame, quantiles: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Pick from rows ``_v _c _upto _n`` (values, their counts, ranks reached, group size) with ``_i`` the quantile."""
     aggregates = []
     for i, q in enumerate(quantiles):
-        position = (F.col("_rank_n") - 1) * F.lit(float(q))
+        position = (F.col("_n") - 1) * F.lit(float(q))
         low, high = F.floor(position), F.ceil(position)
 
         def value_at(index: Column) -> Column:
             holds = (F.col("_upto") - F.col("_c") <= index) & (index < F.col("_upto"))
-            return F.max(F.when(holds, F.col("_v")))
+            return F.max(F.when(holds & F.coalesce(F.col("_i") == i, F.lit(True)), F.col("_v")))
 
         aggregates += [value_at(low).alias(f"_lo{i}"), value_at(high).alias(f"_hi{i}"),
                        F.max(position - low).alias(f"_w{i}")]
-    picked = summed.groupBy(*group_by).agg(*aggregates)
-    return picked.select(
-        *group_by,
+    chosen = counted.groupBy(*names).agg(*aggregates)
+    return chosen.select(
+        *names,
         *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(f"q{i}")
           for i in range(len(quantiles))],
     )
+
+
+def _bracketed(clean: DataFrame, quantiles: Sequence[float], names: Sequence[str]) -> DataFrame:
+    slack = 2.0 / SKETCH_ACCURACY
+    shares = [max(0.0, q - slack) for q in quantiles] + [min(1.0, q + slack) for q in quantiles]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(s) for s in shares]), SKETCH_ACCURACY)
+    bounds = materialise(clean.groupBy(*names).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
+    ), "quantile-brackets")
+    small = broadcast_if_small(bounds.withColumnsRenamed({n: f"_o_{n}" for n in names}))
+    joined = clean.join(small, _null_safe(clean, small, names)).drop(*[f"_o_{n}" for n in names])
+    tiny = F.col("_n") <= SKETCH_ACCURACY
+    low = [F.when(tiny, F.col("_min")).otherwise(F.col("_s")[i]) for i in range(len(quantiles))]
+    high = [F.when(tiny, F.col("_max")).otherwise(F.col("_s")[i + len(quantiles)]) for i in range(len(quantiles))]
+    below = joined.groupBy(*names).agg(
+        F.max("_n").alias("_n"),
+        F.array(*[F.count_if(F.col("_v") < low[i]) for i in range(len(quantiles))]).alias("_below"),
+    )
+    hits = F.array(*[F.when((F.col("_v") >= low[i]) & (F.col("_v") <= high[i]), F.lit(i)) for i in range(len(quantiles))])
+    inside = joined.select(*names, "_v", F.explode(F.array_compact(hits)).alias("_i"))
+    counted = inside.groupBy(*names, "_i", "_v").agg(F.count("*").alias("_c"))
+    ranked = with_running_sums(counted, ["_v"], {"_reached": "_c"}, [*names, "_i"])
+    offsets = broadcast_if_small(below.withColumnsRenamed({n: f"_o_{n}" for n in names}))
+    placed = ranked.join(offsets, _null_safe(ranked, offsets, names)).drop(*[f"_o_{n}" for n in names])
+    return _interpolated(placed.withColumn("_upto", F.col("_reached") + F.col("_below")[F.col("_i")]), quantiles, names)
+
+
+def _ordered(clean: DataFrame, quantiles: Sequence[float], names: Sequence[str]) -> DataFrame:
+    counted = clean.groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    ranked = with_running_sums(counted, ["_v"], {"_upto": "_c"}, names, totals={"_n": "_c"})
+    return _interpolated(ranked.withColumn("_i", F.lit(None).cast("int")), quantiles, names)

@@ -44,6 +44,21 @@ def test_quantiles_match_numpy(spark):
     assert found["c"]["q3"] == 5.0 and "d" not in found
 
 
+def test_quantile_brackets(spark, monkeypatch):
+    """Small sketches: the bracket path on many rows, and the full order where a bracket misses."""
+    rng = np.random.default_rng(3)
+    xs = np.where(rng.random(4000) < 0.4, 7.0, np.round(rng.normal(size=4000), 3))
+    table = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    want = np.quantile(xs, [0.001, 0.25, 0.5, 0.999]).tolist()
+    for accuracy in (100, 3):
+        monkeypatch.setattr(od, "SKETCH_ACCURACY", accuracy)
+        row = od.exact_quantiles(table, "x", [0.001, 0.25, 0.5, 0.999]).first()
+        assert list(row) == pytest.approx(want)
+    monkeypatch.setattr(od, "_bracketed", lambda clean, qs, names: clean.groupBy(*names).agg(
+        *[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(qs))]))
+    assert list(od.exact_quantiles(table, "x", [0.001, 0.25, 0.5, 0.999]).first()) == pytest.approx(want)
+
+
 def test_stratified_split_sizes(spark):
     df = spark.range(200).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     counts = {(r["label"], r["split"]): r["n"] for r in sp.stratified_split(df, "id", "label").groupBy("label", "split").agg(
