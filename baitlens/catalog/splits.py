@@ -9,7 +9,7 @@ from ..operators import splits as sp
 from ..operators.leakage import drop_exact_matches, enforce_time_order, remove_leakage, separate_campaigns
 from ..operators.similarity import drop_near_duplicates
 from ..session import read_table
-from .base import finish, labelled_documents, outputs, query, split_column, split_sql
+from .base import finish, labelled_documents, query, split_column, split_sql
 
 LABELLED_SQL = "lab AS (SELECT l.doc_id, l.quality AS label, d.source, d.lang, d.n_chars, d.text FROM labels l JOIN documents d USING (doc_id))"
 

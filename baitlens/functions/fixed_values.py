@@ -170,7 +170,7 @@ COMMON_SPECS = [
     _spec("feat_ratio_punct", "char_ratio", "text_joined", charset="punct"),
     _spec("feat_unique_char_count", "unique_chars", "text_joined"),
     _spec("feat_max_char_run", "max_run_len", "text_joined"),
-    _spec("feat_has_rtl_marks", "regex_bool", "text_joined", pattern=r"‏|‫|‮"),
+    _spec("feat_has_rtl_marks", "regex_bool", "text_joined", pattern=r"\u200f|\u202b|\u202e"),
     _spec("feat_num_emails_in_text", "regex_count", "text_joined", pattern=EMAIL_ADDRESS),
     _spec("feat_num_urls_in_text", "regex_count", "text_joined", pattern=LINK_START),
 ]

@@ -229,7 +229,8 @@ def bootstrap_ci(scored: DataFrame, threshold: float = 0.5, target_fpr: float =
             yield pd.DataFrame({"_part": state[0], "boot": np.arange(n_boot), "pos": p, "neg": n, "tp": tp, "fp": fp})
 
     totals = materialise(
-        pinned.select("_part", "score", "pos", "neg").mapInPandas(part_totals, "_part int, boot int, pos double, neg double, tp double, fp double"),
+        pinned.select("_part", "score", "pos", "neg").mapInPandas(
+            part_totals, "_part int, boot int, pos double, neg double, tp double, fp double"),
         "bootstrap-totals",
     )
     ahead = Window.partitionBy("boot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
