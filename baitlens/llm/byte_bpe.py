@@ -2,7 +2,7 @@
 
 The rank file becomes a model of the tokenizers library: each byte has a printable character, a token is the string of
 its bytes' characters, and every split of a token into two tokens is a merge, in the order of the ranks. Texts are cut
-by the pattern; each distinct piece of a batch is encoded once and remembered while memory allows. Decoding maps
+by the pattern; each distinct chunk (a word with what is around it) is encoded once and remembered while memory allows. Decoding maps
 characters back to bytes; a character split over tokens is whole again once its bytes are joined.
 
 Defined results: a null or empty text has no ids; long texts are encoded whole; ties between merges are broken by rank,
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -24,8 +25,11 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import bounded_batches, fresh
 
-#: Pieces remembered by a worker, and the longest that is worth it; longer ones are encoded each time.
-REMEMBERED, LONGEST = 300_000, 64
+#: Chunks remembered by a worker, and the longest that is worth it; longer ones are encoded each time.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Characters that are encoded in one go.
+GROUP = 1 << 20
+_SPACES = re.compile(r"\s | \s|^ | $").search
 
 
 def byte_characters() -> list[str]:
@@ -60,26 +64,46 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.bytes[rank] = bytes(byte[c] for c in word[token])
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _encode_new(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: tuple(e.ids) for p, e in zip(pieces, found, strict=True)}
-
-    def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        new = {p for p in pieces if p not in self.known}
-        table = self.known
-        if new:
-            fresh_ids = self._encode_new(list(new))
-            short = {p: ids for p, ids in fresh_ids.items() if len(p) <= LONGEST}
-            if len(self.known) + len(short) > REMEMBERED:
-                table = {p: self.known[p] for p in set(pieces) if p in self.known} | fresh_ids
-                self.known = short
-            else:
-                self.known.update(short)
-                table = self.known if len(short) == len(fresh_ids) else self.known | fresh_ids
-        return list(chain.from_iterable(map(table.__getitem__, pieces)))
+        self.digits = [str(i) for i in range(len(self.bytes))]
+        #: ids of a chunk that follows a space, by the chunk without it
+        self.known: dict[str, bytes] = {}
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids as the bytes of 32-bit integers; their distinct pieces go to the library in one call."""
+        cut = [self.pieces(c) for c in chunks]
+        pieces = list(set(chain.from_iterable(cut)))
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, np.int32).tobytes()
+        ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces)), "right")).tolist()
+        ids = {p: raw[a:b] for p, a, b in zip(pieces, [0, *ends], ends, strict=False)}
+        return [b"".join(map(ids.__getitem__, x)) for x in cut]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts are cut at spaces that stand alone between two other characters: no piece spans such a place."""
+        out, group, size = [], [], 0
+        for i, text in enumerate(texts):
+            group.append([text] if _SPACES(text) else text.split(" "))
+            size += len(text)
+            if size >= GROUP or i == len(texts) - 1:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out
+
+    def _encode_group(self, group: list[list[str]]) -> list[np.ndarray]:
+        heads = self._encode_chunks([chunks.pop(0) for chunks in group])
+        new = list(set(chain.from_iterable(group)).difference(self.known))
+        found = dict(zip(new, self._encode_chunks([" " + c for c in new]), strict=True))
+        short = {c: ids for c, ids in found.items() if len(c) <= LONGEST}
+        if len(self.known) + len(short) > REMEMBERED:
+            used = set(chain.from_iterable(group))
+            self.known = {c: ids for c, ids in self.known.items() if c in used}
+        self.known.update(short)
+        table = self.known if len(short) == len(found) else self.known | found
+        return [np.frombuffer(head + b"".join(map(table.__getitem__, chunks)), np.int32)
+                for head, chunks in zip(heads, group, strict=True)]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -104,7 +128,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     @pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         model = bpe(path, pattern)
-        return pd.Series([np.array(model.encode(x or ""), np.int32) for x in texts], dtype=object)
+        return pd.Series(model.encode_many([x or "" for x in texts]), dtype=object)
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -152,7 +176,7 @@ def digests(ids: Column, path: str, pattern: str) -> Column:
         rows = []
         for x in arrays:
             x = x.tolist()
-            rows.append((len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(),
+            rows.append((len(x), hashlib.sha256(",".join(map(model.digits.__getitem__, x)).encode()).hexdigest(),
                          hashlib.sha256(model.decode_bytes(x)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
