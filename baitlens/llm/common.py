@@ -52,10 +52,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sealed(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns (or some of them) under names that no operator uses, and those names."""
+    names = {c: f"c{i}__" for i, c in enumerate(df.columns if columns is None else columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: joined by a shuffle at every size, never by broadcasting a small one."""
+    return df.hint("merge")
+
+
 def bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow column as one byte array, and the offsets of each; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import broadcast_if_small, materialise
-from .common import bounded_batches, bytes_of, fresh, mix, same, sums, windows, word_hashes, word_spans
+from .common import bounded_batches, bytes_of, fresh, mix, same, sealed, sums, windows, word_hashes, word_spans
 
 #: Fixed values of the base rules, and the limits of the two rules that only count towards a host.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -56,7 +56,7 @@ def count_texts(texts) -> list[np.ndarray]:
     runs = np.diff(after)
     # a run of a text of one or two words is no window of three
     keys = mix(hashes ^ mix(np.repeat(np.arange(len(words)), runs)))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     equal = keys[order][1:] == keys[order][:-1]
     twice = np.zeros(len(keys), bool)
     twice[order[1:][equal]] = True
@@ -116,33 +116,28 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_ra
     Names that the frame already has get an underscore appended. The counted rows are written once to the shared folder.
     """
     carried = docs.columns if carry is None else carry
-    columns = [*dict.fromkeys([*carried, text, host])]
-    frame = docs.select(*[F.col(f"`{c}`") for c in columns])
-    names = {c: fresh(frame.select(*[F.col(f"`{c}`") for c in carried]), c)
-             for c in [*COUNTS, "base_failed", "host_failed", "kept"]}
-    inner = {c: fresh(frame, f"_{c}") for c in COUNTS}
-    counted = with_counts(frame, text, list(inner.values()))
-    place = fresh(frame, "_host")
-    counted = materialise(counted.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias(place),
-                                         *inner.values()), "quality")
-    words = F.col(inner["n_words"])
+    frame, inner = sealed(docs, [*dict.fromkeys([*carried, text, host])])
+    own = docs.select(*[F.col(f"`{c}`") for c in carried])
+    counted = with_counts(frame, inner[text], COUNTS).select(
+        *[inner[c] for c in carried], F.col(inner[host]).alias("host"), *COUNTS)
+    counted = materialise(counted, "quality")
+    words = F.col("n_words")
     fails = {
-        "base": base_failed(words, F.col(inner["n_repeat_words"])),
-        "symbols": 100 * F.col(inner["n_symbols"]) > MAX_SYMBOL_PERCENT * words,
-        "lines": F.col(inner["n_dup_lines"]) > MAX_DUP_LINES,
+        "base": base_failed(words, F.col("n_repeat_words")),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * words,
+        "lines": F.col("n_dup_lines") > MAX_DUP_LINES,
     }
-    hosts = materialise(counted.groupBy(F.col(place).alias("h")).agg(
+    hosts = materialise(counted.groupBy(F.col("host").alias("h")).agg(
         F.count("*").alias("n"), *[F.count_if(c).alias(f"f_{r}") for r, c in fails.items()]), "quality-hosts")
     refused = F.lit(False)
     for r, (alpha, beta) in beta_priors(hosts).items():
         refused |= (F.col(f"f_{r}") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)) > max_host_rate
-    bad = broadcast_if_small(hosts.where(refused).select("h", F.lit(True).alias("_refused")))
-    joined = counted.join(bad, same(F.col(place), F.col("h")), "left")
-    host_failed = F.coalesce(F.col("_refused"), F.lit(False))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in carried], *[F.col(inner[c]).alias(names[c]) for c in COUNTS],
-        fails["base"].alias(names["base_failed"]), host_failed.alias(names["host_failed"]),
-        (~fails["base"] & ~host_failed).alias(names["kept"]))
+    bad = broadcast_if_small(hosts.where(refused).select("h", F.lit(True).alias("refused")))
+    host_failed = F.coalesce(F.col("refused"), F.lit(False))
+    made = {**{c: F.col(c) for c in COUNTS}, "base_failed": fails["base"], "host_failed": host_failed,
+            "kept": ~fails["base"] & ~host_failed}
+    return counted.join(bad, same(F.col("host"), F.col("h")), "left").select(
+        *[F.col(inner[c]).alias(c) for c in carried], *[c.alias(fresh(own, n)) for n, c in made.items()])
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import with_rank, with_running_sums
 from ..session import broadcast_if_small, materialise
-from .common import fresh, same
+from .common import same, sealed
 
 #: Weights by turn, share of all words wanted, copies of a document at most.
 WEIGHTS, SHARE_PERCENT, MAX_COPIES = (3, 1, 2), 150, 2
@@ -129,14 +129,11 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", d
                   seed: str = SEED, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with its own columns."""
     _, plan = plan_mix(docs, text, source, doc_id, seed, **options)
-    renamed = docs.withColumnsRenamed({c: f"d{i}" for i, c in enumerate(docs.columns)})
-    place = {c: f"d{i}" for i, c in enumerate(docs.columns)}
-    joined = _join_plan(renamed, place[source], plan)
-    copies = _copies(word_count(F.col(place[text])), F.col(place[doc_id]), seed)
-    taken = joined.withColumn("_copies", copies).where("_copies > 0")
-    return taken.select(*[F.col(p).alias(c) for c, p in place.items()],
-                        F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias(fresh(docs, "_copy"))
-                        ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    frame, names = sealed(docs)
+    copies = _copies(word_count(F.col(names[text])), F.col(names[doc_id]), seed)
+    taken = _join_plan(frame, names[source], plan).withColumn("copies", copies).where("copies > 0")
+    return taken.select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        *[F.col(n).alias(c) for c, n in names.items()])
 
 
 ORACLE_CORE = f"""
