@@ -3,7 +3,7 @@
 The longest rule that fits a URL decides. URLs that a rule decides are the labelled rows of the classifier. Concatenated
 host names are cut into words by a unigram Viterbi search; the unigrams are the words of the given texts that make up at
 least :data:`MIN_SHARE` of all words, so there are at most 1 / :data:`MIN_SHARE` of them whatever the input. Tokens of
-host and path are hashed into :data:`BUCKETS` counters for multinomial naive Bayes with add-one smoothing; these two
+host and path are hashed into :data:`BUCKETS` counters for multinomial naive Bayes with add-one smoothing over the buckets in use; these two
 tables are all that reaches the driver and the workers.
 
 Defined results: a null URL or one without ``://`` has empty host and path and the classifier's verdict on no tokens, its
@@ -94,12 +94,12 @@ _NUMBER, _PART = re.compile(r"[0-9]+"), re.compile(r"[^\W_]+")
 
 
 def tokens(host: str, path: str, segment) -> list[str]:
-    """Words of the host's labels with ``h:``, words of the path with ``p:``; numbers only by their length."""
+    """Words of the host's labels with ``h:``, words of the path with ``p:``; numbers by their first digit and length."""
     found = []
     for mark, text in (("h:", host), ("p:", path)):
         for part in _PART.findall(text):
             for word in segment(part) if mark == "h:" else [part.lower()]:
-                found.append(mark + _NUMBER.sub(lambda m: "0" * len(m[0]), word))
+                found.append(mark + _NUMBER.sub(lambda m: m[0][0] + "0" * (len(m[0]) - 1), word))
     return found
 
 
@@ -145,12 +145,13 @@ def _url_tokens(counts) -> UrlTokens:
 def naive_bayes(labelled: DataFrame) -> tuple[float, np.ndarray]:
     """Log odds of ``block``: of the prior and of each bucket, from rows of ``verdict buckets``; add-one smoothing."""
     classes = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-    counts = np.ones((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS))
     rows = labelled.select("verdict", F.explode("buckets").alias("b")).groupBy("verdict", "b").agg(F.count("*").alias("n"))
     for r in rows.toLocalIterator():
         counts[int(r["verdict"] == "block"), r["b"]] += r["n"]
     prior = math.log((classes.get("block", 0) + 1) / (classes.get("allow", 0) + 1))
-    logs = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
+    used = np.count_nonzero(counts.any(axis=0))
+    logs = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + max(used, 1))
     return prior, logs[1] - logs[0]
 
 

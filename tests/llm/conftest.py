@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 SF = os.environ.get("SMOKE_SF_DIR", "/root/testdata/sf0.001")
+LETTERS = str.maketrans("0123456789", "abcdefghij")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
 
 def words(seed, n, vocabulary=400):
     draw = random.Random(seed)
-    return " ".join(f"w{draw.randrange(vocabulary)}" for _ in range(n))
+    return " ".join("w" + str(draw.randrange(vocabulary)).translate(LETTERS) for _ in range(n))
 
 
 @pytest.fixture
