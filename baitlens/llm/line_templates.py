@@ -27,7 +27,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
 from ..session import materialise
-from .common import bounded_batches, bytes_of, fresh, mix, word_hashes, word_spans
+from .common import bounded_batches, by_shuffle, bytes_of, fresh, mix, sealed, word_hashes, word_spans
 
 DEPTH, SIMILARITY, MIN_TEXTS = 4, 0.8, 10
 _FIELD = np.uint64(0x5851F42D4C957F2D)
@@ -112,7 +112,7 @@ def _profiles(lines: DataFrame, min_texts: int) -> DataFrame:
     """``l profile``: the most frequent token of each place, for the leaves that enough texts reach."""
     reached = lines.select("leaf", "text_key").distinct().groupBy(F.col("leaf").alias("l")).count().where(F.col("count") >= min_texts)
     leaves = materialise(reached.select("l"), "line-leaves")
-    distinct = lines.join(leaves, F.col("leaf") == F.col("l"), "left_semi").groupBy("leaf", "whole", "codes").count()
+    distinct = lines.join(by_shuffle(leaves), F.col("leaf") == F.col("l"), "left_semi").groupBy("leaf", "whole", "codes").count()
     places = distinct.select("leaf", "count", F.posexplode(F.split(F.hex("codes"), "(?<=\\G..)")).alias("place", "code")).where("code <> ''")
     votes = places.groupBy("leaf", "place", "code").agg(F.sum("count").alias("n"))
     best = votes.groupBy("leaf", "place").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
@@ -126,16 +126,16 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float
     lines = materialise(lines_of(docs), "lines")
     profiles = materialise(_profiles(lines, min_texts), "line-profiles")
     agrees = agreement(F.col("codes"), F.col("profile")) >= similarity
-    profiled = lines.join(profiles, F.col("leaf") == F.col("l")).select(
+    profiled = lines.join(by_shuffle(profiles), F.col("leaf") == F.col("l")).select(
         "text_key", "doc_id", "line", F.when(agrees, F.col("leaf")).otherwise(F.col("whole")).alias("template"))
-    alone = lines.join(profiles, F.col("leaf") == F.col("l"), "left_anti").select(
+    alone = lines.join(by_shuffle(profiles), F.col("leaf") == F.col("l"), "left_anti").select(
         "text_key", "doc_id", "line", F.col("whole").alias("template"))
     placed = materialise(profiled.unionByName(alone), "line-templates")
     texts = placed.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"))
     recurring = texts.groupBy(F.col("template").alias("t")).agg(
         F.count("*").alias("n"), F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("home")
     ).where(F.col("n") >= min_texts).select("t", "home")
-    gone = placed.join(recurring, F.col("template") == F.col("t")).where("text_key <> home")
+    gone = placed.join(by_shuffle(recurring), F.col("template") == F.col("t")).where("text_key <> home")
     return gone.groupBy("text_key").agg(F.collect_set("line").alias("dropped"))
 
 
@@ -145,15 +145,15 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     ``dropped`` gets underscores where the frame has such a column. The document id must be a whole number.
     """
-    key, name = fresh(docs, "_text_key"), fresh(docs, "dropped")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`")))
+    frame, names = sealed(docs)
+    keyed = frame.withColumn("key", F.xxhash64(names[text]))
     found = materialise(dropped_lines(keyed.select(
-        F.col(key).alias("text_key"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")),
+        F.col("key").alias("text_key"), F.col(names[doc_id]).cast("long").alias("doc_id"), F.col(names[text]).alias("text")),
         min_texts, similarity), "line-dropped")
-    gone = found.select(F.col("text_key").alias("_k"), F.col("dropped").alias(name + "_"))
-    joined = keyed.join(gone, F.col(key) == F.col("_k"), "left").withColumnRenamed(name + "_", name)
-    clean = without_lines(F.col(f"`{text}`"), F.col(name))
-    return joined.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], name)
+    joined = keyed.join(by_shuffle(found), F.col("key") == F.col("text_key"), "left")
+    clean = without_lines(F.col(names[text]), F.col("dropped"))
+    return joined.select(*[(clean if c == text else F.col(n)).alias(c) for c, n in names.items()],
+                         F.col("dropped").alias(fresh(docs, "dropped")))
 
 
 def line_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
