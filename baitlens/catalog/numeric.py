@@ -352,4 +352,4 @@ def top_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("permutation_importance")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(ex.permutation_importance(items(spark, sf), "row_id", SWEEP_FEATURES, linear_scorer, repeats=3))
+    return finish(ex.permutation_importance(items(spark, sf), "row_id", SWEEP_FEATURES, linear_scorer))

@@ -143,8 +143,7 @@ b AS (SELECT max(ts) AS vm FROM ev, a WHERE split = 'val' AND ts > tm)"""
 @query("temporal_order", f"""
 WITH {TIMED_SQL}
 SELECT CAST(event_id AS BIGINT) AS event_id, split FROM ev, a, b
-WHERE split = 'train' OR (split = 'val' AND ts > tm) OR (split = 'test' AND ts > vm) OR
-  (SELECT count(*) FILTER (WHERE split = 'val' AND ts > tm) < 100 OR count(*) FILTER (WHERE split = 'test' AND ts > vm) < 100 FROM ev)""")
+WHERE split = 'train' OR (split = 'val' AND ts > tm) OR (split = 'test' AND (vm IS NULL OR ts > vm))""")
 def temporal_order(spark: SparkSession, sf: str) -> DataFrame:
     i, ts = F.col("event_id"), F.col("ts")
     split = (F.when(i % 50 == 7, "test").when(ts < F.lit("2024-01-16").cast("timestamp_ntz"), "train")
@@ -205,15 +204,13 @@ e AS (SELECT * FROM c s WHERE split = 'train'
 f AS (SELECT * FROM e WHERE split = 'train' OR (split = 'val' AND sender_domain NOT IN (SELECT sender_domain FROM e WHERE split = 'train'))
   OR (split = 'test' AND sender_domain NOT IN (SELECT sender_domain FROM e WHERE split <> 'test'))),
 a AS (SELECT max(timestamp) FILTER (WHERE split = 'train') AS tm FROM f),
-b AS (SELECT max(timestamp) AS vm FROM f, a WHERE split = 'val' AND timestamp > tm),
-q AS (SELECT count(*) FILTER (WHERE split = 'val' AND timestamp > tm) AS nv,
-  count(*) FILTER (WHERE split = 'test' AND (vm IS NULL OR timestamp > vm)) AS nt FROM f, a, b)"""
+b AS (SELECT max(timestamp) AS vm FROM f, a WHERE split = 'val' AND timestamp > tm)"""
 
 
 @query("leakage_chain", f"""
 WITH {CHAIN_SQL}
-SELECT CAST(doc_id AS BIGINT) AS doc_id, split FROM f, a, b, q
-WHERE nv < 100 OR nt < 100 OR split = 'train' OR (split = 'val' AND timestamp > tm) OR (split = 'test' AND timestamp > vm)""")
+SELECT CAST(doc_id AS BIGINT) AS doc_id, split FROM f, a, b
+WHERE split = 'train' OR (split = 'val' AND timestamp > tm) OR (split = 'test' AND (vm IS NULL OR timestamp > vm))""")
 def leakage_chain(spark: SparkSession, sf: str) -> DataFrame:
     return finish(remove_leakage(_chain(spark, sf), "doc_id", near=False).select("doc_id", "split"))
 

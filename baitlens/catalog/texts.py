@@ -362,7 +362,7 @@ WITH r AS (
 d AS (SELECT *, CASE WHEN url IS NOT NULL THEN nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), ':.*$', ''), '') END AS dom,
   {norm_sql("coalesce(nullif(url, ''), coalesce(body, ''))")} AS text FROM r)
 SELECT CAST(row_id AS BIGINT) AS row_id, lower(modality) || ':' || coalesce(dom, 'no-domain') AS group_key,
-  lower(modality) || ':' || coalesce(dom, 'nodom:' || md5(substr({norm_sql('lower(text)')}, 1, 256))) AS group_key_fingerprint,
+  lower(modality) || ':' || coalesce(dom, 'nodom:' || md5({norm_sql('lower(text)')})) AS group_key_fingerprint,
   lower(modality) AS stratum
 FROM d WHERE length(text) > 0""")
 def group_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -379,8 +379,8 @@ def group_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("row_hashes", f"""
-SELECT CAST(doc_id AS BIGINT) AS doc_id, sha1(text) AS sha, md5(substr({norm_sql('lower(text)')}, 1, 256)) AS fingerprint,
-  md5({norm_sql('lower(text)')}) AS fingerprint_whole,
+SELECT CAST(doc_id AS BIGINT) AS doc_id, sha1(text) AS sha, md5(substr({norm_sql('lower(text)')}, 1, 256)) AS fingerprint_start,
+  md5({norm_sql('lower(text)')}) AS fingerprint,
   md5('{{"source":"' || source || '","lang":"' || lang || '","n_chars":' || n_chars || '}}') AS content_hash
 FROM documents""")
 def row_hashes(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,5 +388,5 @@ def row_hashes(spark: SparkSession, sf: str) -> DataFrame:
     hashed = content_hash(docs.select("doc_id", "text", "source", "lang", "n_chars"), ignore=("doc_id", "text"))
     return finish(hashed.select(
         "doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha"),
-        tx.fingerprint(F.col("text")).alias("fingerprint"), tx.fingerprint(F.col("text"), None).alias("fingerprint_whole"),
+        tx.fingerprint(F.col("text"), 256).alias("fingerprint_start"), tx.fingerprint(F.col("text")).alias("fingerprint"),
         "content_hash"))

@@ -29,7 +29,7 @@ BENCH_SQL = f"b AS (SELECT item_id, regexp_replace(strip_accents(lower(text)), '
 def weights_sql(source: str, key: str, tf_sql: str, min_df: str, max_df: str = "0.9") -> str:
     return f"""
 tf AS ({tf_sql}), nd AS (SELECT count(*) AS n FROM {source}),
-voc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * (SELECT n FROM nd) ORDER BY total DESC, term LIMIT 50000),
+voc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * (SELECT n FROM nd)),
 raw AS (SELECT {key}, term, tf, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS r FROM tf JOIN voc USING (term) CROSS JOIN nd),
 wt AS (SELECT {key}, term, tf, r / sqrt(sum(r * r) OVER (PARTITION BY {key})) AS weight FROM raw)"""
 

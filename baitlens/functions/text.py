@@ -122,8 +122,8 @@ def text_signals(df: DataFrame, body: str | None = None) -> DataFrame:
     })
 
 
-def fingerprint(col: Column, chars: int | None = 256) -> Column:
-    """md5 of lowered, whitespace-collapsed text; ``chars=None`` hashes all of it."""
+def fingerprint(col: Column, chars: int | None = None) -> Column:
+    """md5 of lowered, whitespace-collapsed text; ``chars`` hashes only so many first characters."""
     normal = collapse_spaces(F.lower(col))
     return F.md5(normal if chars is None else F.substring(normal, 1, chars))
 

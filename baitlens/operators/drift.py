@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -129,9 +129,8 @@ def label_drift(baseline_shares: DataFrame, new_shares: DataFrame, epsilon: floa
                      F.col("_bv").eqNullSafe(F.col("_nv")), "full_outer")
     raw = both.select((F.coalesce("_b", F.lit(0.0)) + epsilon).alias("p"),
                       (F.coalesce("_n", F.lit(0.0)) + epsilon).alias("q"))
-    whole = Window.partitionBy()
-    # label values: one row each, a bounded table
-    shares = raw.select((F.col("p") / F.sum("p").over(whole)).alias("p"), (F.col("q") / F.sum("q").over(whole)).alias("q"))
+    whole = raw.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    shares = raw.select(*[(F.col(c) / F.lit(whole[c])).alias(c) for c in ("p", "q")])
     middle = (F.col("p") + F.col("q")) * 0.5
     return shares.agg(
         (F.sum(F.col("p") * F.ln(F.col("p") / middle)) * 0.5 + F.sum(F.col("q") * F.ln(F.col("q") / middle)) * 0.5)

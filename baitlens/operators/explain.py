@@ -79,13 +79,13 @@ def linear_attribution(df: DataFrame, coefficients: dict[str, float]) -> DataFra
 
 
 def array_attribution(df: DataFrame, column: str, coefficients: Sequence[float]) -> DataFrame:
-    """The same for an array column: feature is the position."""
+    """The same for an array column: feature is the position; one without a coefficient counts as 0."""
     long = df.select(F.posexplode(column).alias("position", "value")).withColumn("value", F.col("value").cast("double"))
     means = long.groupBy("position").agg(F.avg("value").alias("_mean"))
     coefs = df.sparkSession.createDataFrame(
         [(i, float(c)) for i, c in enumerate(coefficients)], "position int, _coef double")
     # one row per array position
-    stats = F.broadcast(means.join(coefs, "position"))
+    stats = F.broadcast(means.join(coefs, "position", "left").fillna(0.0, ["_coef"]))
     return long.join(stats, "position").groupBy("position").agg(
         F.avg(F.abs(F.col("_coef") * (F.col("value") - F.col("_mean")))).alias("attribution")
     )

@@ -213,7 +213,7 @@ def bootstrap_ci(scored: DataFrame, threshold: float = 0.5, target_fpr: float =
 
     A resample weights every row by Poisson(1), so a distinct score with c rows gets Poisson(c). Each task walks
     its range of the sorted distinct scores twice (totals, then the metrics' additive parts); rows are never copied
-    per resample. Draws are keyed by seed, range and resample, so a repeated task repeats them.
+    per resample. Draws are keyed by seed and score, so neither a repeated task nor another layout changes them.
     """
     pinned = pin_order(score_counts(scored, (), score, label), [F.desc("score")])
 
@@ -306,14 +306,17 @@ def _field(array: str, name: str) -> Column:
 def _resamples(batches: Iterator[pd.DataFrame], seed: int, n_boot: int, lead_columns: Sequence[str] = (),
                chunk: int = 1000) -> Iterator[tuple]:
     """Per chunk of a task's sorted scores: the range, the scores, drawn weights (resample x score), lead numbers."""
-    makers, part, lead = None, 0, []
+    first, part, lead = True, 0, []
     for batch in batches:
         for start in range(0, len(batch), chunk):
             piece = batch.iloc[start:start + chunk]
-            if makers is None:
+            if first:
                 part = int(piece["_part"].iloc[0])
                 lead = [np.asarray(piece[c].iloc[0], dtype=float) for c in lead_columns]
-                makers = [np.random.Generator(np.random.Philox(key=[seed, part * n_boot + b])) for b in range(n_boot)]
-            pairs = piece[["pos", "neg"]].to_numpy().astype(float)
-            drawn = np.stack([m.poisson(pairs) for m in makers]).astype(float)
-            yield part, piece["score"].to_numpy(), drawn[:, :, 0], drawn[:, :, 1], lead
+                first = False
+            scores = piece["score"].to_numpy().astype(float)
+            drawn = np.stack([
+                np.random.Generator(np.random.Philox(key=[seed, key])).poisson(pair, (n_boot, 2))
+                for key, pair in zip((scores + 0.0).view(np.uint64).tolist(), piece[["pos", "neg"]].to_numpy().astype(float))
+            ], axis=1).astype(float)
+            yield part, scores, drawn[:, :, 0], drawn[:, :, 1], lead

@@ -122,7 +122,7 @@ def fit_min_df(n_docs: int) -> int:
 
 
 def tfidf(df: DataFrame, doc: str, column: str, analyzer: str = "char", low: int = 3, high: int = 5,
-          min_df: int | None = None, max_df: float = 0.9, max_features: int | None = 50_000,
+          min_df: int | None = None, max_df: float = 0.9, max_features: int | None = None,
           accents: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
     """Fit on ``fit_on`` (default: the frame itself) and weigh the frame."""
     fitted = df if fit_on is None else fit_on

@@ -23,19 +23,17 @@ from ..operators.vectors import drop_constant, fuse_blocks
 from .config import TrainingConfig
 from .stages import Grams
 
-VOCABULARY_LIMIT = 50_000
-
 
 def fit_vectorizer(train: DataFrame, row_id: str, column: str, analyzer: str, low: int, high: int, output: str,
-                   min_df: int | None = None, max_df: float = 0.9, max_features: int = VOCABULARY_LIMIT) -> PipelineModel:
+                   min_df: int | None = None, max_df: float = 0.9, max_features: int | None = None) -> PipelineModel:
     """Fitted TF-IDF vectorizer from JVM stages: n-grams, counts, idf factors, unit length.
 
-    The vocabulary (at most ``max_features`` terms) is the only thing that reaches the driver.
+    The vocabulary (at most ``max_features`` terms, where given) is the only thing that reaches the driver.
     """
     n_docs = train.count()
     terms = vocabulary(
         term_counts(train, row_id, column, analyzer, low, high, accents=True), n_docs,
-        fit_min_df(n_docs) if min_df is None else min_df, max_df, min(max_features, VOCABULARY_LIMIT),
+        fit_min_df(n_docs) if min_df is None else min_df, max_df, max_features,
     ).orderBy("term").collect()
     if not terms:
         raise ValueError(f"empty vocabulary for {column!r} ({analyzer})")
@@ -58,21 +56,14 @@ def project_vectors(df: DataFrame, column: str, basis: np.ndarray, output: str)
     """Vector times a small matrix, in Arrow batches over the non-zero entries."""
     matrix = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(basis, dtype=np.float32))
 
-    @F.udf("indices array<int>, values array<double>")
-    def entries(v):
-        if hasattr(v, "indices"):
-            return v.indices.tolist(), v.values.tolist()
-        (filled,) = v.values.nonzero()
-        return filled.tolist(), v.values[filled].tolist()
-
     @F.pandas_udf("array<double>")
     def times(indices: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series([
-            np.asarray(v) @ matrix.value[np.asarray(i, dtype=int)] if len(i) else np.zeros(matrix.value.shape[1])
-            for i, v in zip(indices, values)
+            np.asarray(v) @ (matrix.value if i is None else matrix.value[np.asarray(i, dtype=int)])
+            if len(v) else np.zeros(matrix.value.shape[1]) for i, v in zip(indices, values)
         ])
 
-    staged = df.withColumn("_e", entries(column))
+    staged = df.withColumn("_e", F.unwrap_udt(column))  # a dense vector has no indices
     return staged.withColumn(output, times("_e.indices", "_e.values")).drop("_e")
 
 
@@ -100,7 +91,7 @@ class FeatureSpace:
         quartiles = column_quantiles(staged, self.numeric, [0.25, 0.75], accuracy=10_000).collect()
         self.widths = {r["column"]: (r["q1"] - r["q0"]) or 1.0 for r in quartiles}
         if self.config.use_tfidf:
-            half = min(min(self.config.tfidf_max_features, train.count() * 5) // 2, VOCABULARY_LIMIT)
+            half = self.config.tfidf_max_features // 2
             self.vectorizers = [
                 fit_vectorizer(train, self.row_id, self.text, "char", *self.config.char_grams, "tfidf_char",
                                max_features=half),

@@ -246,7 +246,7 @@ def run_training(splits: DataFrame, row_id: str, config: EvaluationConfig | None
         "bootstrap": bootstrap_ci(scored, trained.best_threshold, config.target_fpr, bootstrap_rounds),
         "errors": error_rows(scored, trained.best_threshold),
         "importance": model_importance(best, features, spark),
-        "permutation": permutation_importance(cleaned["test"], row_id, features, scorer, label, repeats=3),
+        "permutation": permutation_importance(cleaned["test"], row_id, features, scorer, label),
         "drift_baseline": establish_baseline(cleaned["train"], features),
         "label_baseline": label_shares(cleaned["train"], label),
     }

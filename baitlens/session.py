@@ -37,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
     made = tempfile.mkdtemp(prefix="baitlens-")
     spark.conf.set(CHECKPOINT_KEY, made)

@@ -130,10 +130,16 @@ def write_json_documents(df: DataFrame, path: str, files: int) -> str:
     return path
 
 
-def append_history(report: DataFrame, path: str, ts=None) -> None:
-    """Append a drift report with its time to the history."""
+def append_history(report: DataFrame, path: str, ts=None, batch: int | None = None) -> None:
+    """Append a drift report with its time to the history.
+
+    A numbered batch has a folder of its own, so a batch that is tried again replaces its record.
+    """
     stamped = report.withColumn("ts", F.current_timestamp() if ts is None else ts)
-    stamped.write.mode("append").json(path)
+    if batch is None:
+        stamped.write.mode("append").json(f"{path}/batch=none")
+    else:
+        stamped.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -78,7 +78,7 @@ def drift_per_batch(stream: DataFrame, baseline: DataFrame, history: str, checkp
     """A drift report against the frozen baseline for every micro-batch, appended to the history."""
     def check(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            append_history(drift_report(baseline, batch, baseline_labels, label), history)
+            append_history(drift_report(baseline, batch, baseline_labels, label), history, batch=batch_id)
 
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -198,4 +198,4 @@ def test_group_key_and_preview(one):
     assert one("x", tx.group_key(F.lit("URL"), F.lit(None).cast("string"))) == "url:no-domain"
     assert one("a  B", tx.group_key(F.lit("Email"), F.lit(""), V)) == one("A b", tx.group_key(F.lit("email"), F.lit(None).cast("string"), V))
     assert one("abcdef", tx.preview(V, 3)) == "abc..." and one("abc", tx.preview(V, 3)) == "abc"
-    assert one("a" * 300, tx.fingerprint(V)) == one("a" * 256, tx.fingerprint(V, None))
+    assert one("a" * 300, tx.fingerprint(V, 256)) == one("a" * 256, tx.fingerprint(V)) != one("a" * 300, tx.fingerprint(V))
