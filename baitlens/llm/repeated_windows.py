@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import _BASE, _BYTE, bounded_batches, bytes_of, fresh, mix
+from .common import _BASE, _BYTE, bounded_batches, by_shuffle, bytes_of, fresh, mix
 
 WINDOW, GRAM, SPREAD = 200, 16, 64
 #: Bytes that are worked on at once; longer texts are cut into segments of this size and a window more.
@@ -121,10 +121,19 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         i = j
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of frames that nothing refers to any more."""
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of materialised frames that nothing reads any more, and the shuffle files of dropped ones.
+
+    Only for frames of this module, whose readers have been written to the shared folder themselves.
+    """
+    jvm = spark.sparkContext._jvm
+    for frame in frames:
+        folders = {file.rpartition("/")[0] for file in frame.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm.System.gc()
 
 
 def slots(texts: DataFrame) -> DataFrame:
@@ -181,25 +190,26 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     # pass 1: slots whose core is found again
     cores = found.groupBy(F.col("core").alias("c")).count().where("count > 1").select("c")
     cores = materialise(cores, "windows-cores")
-    shared = materialise(found.join(cores, F.col("core") == F.col("c")).drop("c"), "windows-shared")
-    free_shuffles(spark)
+    discard(spark)
+    shared = materialise(found.join(by_shuffle(cores), F.col("core") == F.col("c")).drop("c"), "windows-shared")
+    discard(spark, found, cores)
     # pass 2: slots whose whole stretch is found again
     stretches = materialise(shared.groupBy("core", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")), "windows-stretches")
     twice = stretches.where("n > 1").select(F.col("core").alias("c"), F.col("stretch").alias("s"))
-    equal = shared.join(twice, (F.col("core") == F.col("c")) & (F.col("stretch") == F.col("s"))).select("key", "place")
+    equal = shared.join(by_shuffle(twice), (F.col("core") == F.col("c")) & (F.col("stretch") == F.col("s"))).select("key", "place")
     equal = materialise(equal.distinct(), "windows-equal")
     # pass 3: the windows of stretches that share their core with another stretch
     mixed = stretches.groupBy(F.col("core").alias("c")).count().where("count > 1").select("c")
     opened = stretches.join(mixed, F.col("core") == F.col("c")).select(
         F.col("one.key").alias("k"), (F.col("one.place") * 2 + F.when(F.col("n") == 1, 1).otherwise(0)).alias("p"))
     opened = materialise(opened.groupBy("k").agg(F.collect_list("p").alias("places")), "windows-open")
-    unfold = materialise(unfolded(texts.join(opened, F.col("key") == F.col("k")).select("key", "text", "places")), "windows-unfolded")
-    free_shuffles(spark)
+    unfold = materialise(unfolded(texts.join(by_shuffle(opened), F.col("key") == F.col("k")).select("key", "text", "places")), "windows-unfolded")
+    discard(spark, shared, stretches, opened)
     again = unfold.groupBy(F.col("window").alias("w")).count().where("count > 1").select("w")
-    single = unfold.where("wanted").join(again, F.col("window") == F.col("w")).select("key", (F.col("start") * 256 + 1).alias("place"))
+    single = unfold.where("wanted").join(by_shuffle(again), F.col("window") == F.col("w")).select("key", (F.col("start") * 256 + 1).alias("place"))
     places = equal.unionByName(single.distinct()).groupBy("key").agg(F.collect_list("place").alias("places"))
     places = materialise(places, "windows-places")
-    free_shuffles(spark)
+    discard(spark, equal, unfold)
     return places
 
 
@@ -225,10 +235,10 @@ def remove_repeated(docs: DataFrame, text: str = "text", carry: list[str] | None
     carried = docs.columns if carry is None else carry
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     places = repeated_places(docs.select(F.xxhash64(content).alias("key"), content.alias("text")))
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]
-    rows = docs.select(*own, content.alias("text"), F.xxhash64(content).alias("key")).join(
-        places.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").drop("k", "key")
-    names = [f"c{i}" for i in range(len(carried))]
+    inner = {c: f"c{i}__" for i, c in enumerate(carried)}
+    names = [*inner.values()]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], content.alias("text"), F.xxhash64(content).alias("key")).join(
+        by_shuffle(places.withColumnRenamed("key", "k")), F.col("key") == F.col("k"), "left").drop("k", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
