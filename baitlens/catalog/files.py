@@ -86,7 +86,11 @@ def io_skip_bad_rows(spark: SparkSession, sf: str) -> DataFrame:
     return finish(from_json.unionByName(from_csv.withColumn("kind", F.lit("csv"))))
 
 
-@query("io_discovery")
+@query("io_discovery", """
+WITH p AS (SELECT count(*) AS n, count(page_id) AS labels, count(url) AS urls FROM pages),
+d AS (SELECT count(*) AS n, count(source) AS labels, count(text) AS texts FROM documents)
+SELECT CAST(p.n + d.n AS BIGINT) AS n_rows, CAST(p.labels + d.labels AS BIGINT) AS n_label, CAST(p.n + d.texts AS BIGINT) AS n_text,
+  CAST(p.urls AS BIGINT) AS n_url, CAST(1 AS BIGINT) AS n_files_unique, CAST(1 AS BIGINT) AS n_skipped FROM p, d""")
 def io_discovery(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per canonical column after discovering a folder twice; one source cannot be read."""
     root = scratch_path(spark, "roots")

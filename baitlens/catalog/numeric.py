@@ -10,7 +10,7 @@ from ..operators import explain as ex
 from ..operators import ordering as od
 from ..operators import profile as pf
 from ..operators import robustness as rb
-from ..session import read_table, scratch_path
+from ..session import materialise, read_table, scratch_path
 from .base import finish, outputs, query
 
 NUMERIC_SQL = """
@@ -350,6 +350,25 @@ def top_lists(spark: SparkSession, sf: str) -> DataFrame:
     return finish(dr.top_drifted(drifted, 3).select("feature", "psi", "drifted"))
 
 
-@query("permutation_importance")
+def _score_sql(exchanged: str | None = None) -> str:
+    """The linear score of rows ``r``, one feature taken from the donor ``d``."""
+    terms = " + ".join(f"{k}::DOUBLE * {'d' if c == exchanged else 'r'}.{c}" for c, k in COEFFICIENTS.items())
+    return f"1 / (1 + exp(-(-1.5::DOUBLE + {terms})))"
+
+
+@query("permutation_importance", f"""
+WITH {ITEMS_SQL}, r AS (SELECT * EXCLUDE (row_id), row_number() OVER (ORDER BY row_id, label, {', '.join(SWEEP_FEATURES)}) AS pos FROM it),
+o AS (SELECT rep, pos AS donor, row_number() OVER (PARTITION BY rep ORDER BY md5('42|' || rep || '|' || pos), pos) AS pos FROM r, range(10) AS t(rep)),
+d AS (SELECT o.rep, o.pos, r.* EXCLUDE (pos) FROM o JOIN r ON r.pos = o.donor),
+s AS (SELECT '' AS feature, 0 AS rep, label, {_score_sql()} AS score FROM r
+  {' '.join(f"UNION ALL SELECT '{c}', d.rep, r.label, {_score_sql(c)} FROM r JOIN d ON r.pos = d.pos" for c in SWEEP_FEATURES)}),
+g AS (SELECT feature, rep, score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY feature, rep, score),
+w AS (SELECT feature, rep, p, n, sum(n) OVER (PARTITION BY feature, rep ORDER BY score) - n AS below FROM g),
+auc AS (SELECT feature, rep, sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS auc FROM w GROUP BY feature, rep),
+x AS (SELECT feature, avg((SELECT auc FROM auc WHERE feature = '') - auc) AS permutation_importance, stddev_pop((SELECT auc FROM auc WHERE feature = '') - auc) AS permutation_std,
+  count(*) AS repeats FROM auc WHERE feature <> '' GROUP BY feature)
+SELECT {outputs('feature:s permutation_importance:d permutation_std:d repeats:i')} FROM x""")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(ex.permutation_importance(items(spark, sf), "row_id", SWEEP_FEATURES, linear_scorer))
+    # order keys and line numbers repeat in the table, so the rows are numbered first
+    numbered = od.with_rank(items(spark, sf), ["row_id", "label", *SWEEP_FEATURES], "place").withColumn("row_id", F.col("place")).drop("place")
+    return finish(ex.permutation_importance(materialise(numbered, "numbered-items"), "row_id", SWEEP_FEATURES, linear_scorer))

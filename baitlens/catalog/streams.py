@@ -10,7 +10,7 @@ from ..session import read_table, scratch_path
 from ..sources.writers import read_history
 from ..streaming import jobs
 from .base import finish, outputs, query
-from .numeric import EVENTS_SQL, FEATURES, events, psi_sql
+from .numeric import EVENTS_SQL, FEATURES, JS_SQL, NEW_SQL, events, psi_sql
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,11 @@ def stream_drift_windows(spark: SparkSession, sf: str) -> DataFrame:
     return finish(psi.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
-@query("stream_drift")
+@query("stream_drift", f"""
+WITH {EVENTS_SQL}, {NEW_SQL}, {psi_sql()}, {JS_SQL.replace(" AND event_type <> 'signup'", '')},
+x AS (SELECT (SELECT avg(psi) FROM psi) AS psi_mean, js_divergence FROM js),
+y AS (SELECT *, 0.5 * psi_mean + 0.2 * js_divergence / ln(2) AS overall_drift_score FROM x)
+SELECT {outputs('psi_mean:d js_divergence:d overall_drift_score:d')}, CAST(overall_drift_score > 0.1 AS BIGINT) AS alert_triggered FROM y""")
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     """A report per micro-batch in the history."""
     base, new = events(spark, sf)

@@ -101,7 +101,8 @@ def svd_block(spark: SparkSession, sf: str) -> DataFrame:
     return finish(projected.select("vec_id", length.alias("length"), kept.alias("explained_variance_ratio")), 4)
 
 
-@query("fused_block")
+@query("fused_block", """
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(len(embedding) + 10 AS BIGINT) AS width, CAST(len(embedding) + 9 AS BIGINT) AS selected_width FROM embeddings""")
 def fused_block(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric, embedding and constant columns fused, the constant ones dropped again."""
     units = embeddings(spark, sf)

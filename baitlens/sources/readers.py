@@ -83,8 +83,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Reader by file name."""
-    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    folder, _, name = path.rstrip("/").lower().rpartition("/")
     plain = name.removesuffix(".gz")
+    if folder.endswith(".jsonl"):  # a part file of JSON lines, whatever its own name
+        return read_json_lines(spark, path)
     if plain == CORPUS_NAME:
         return read_corpus(spark, path)
     readers = {".csv": read_csv, ".tsv": read_tsv, ".jsonl": read_json_lines, ".json": read_json_document,
