@@ -289,7 +289,7 @@ b AS (SELECT temperature, avg((score - label) ** 2) AS brier, avg(-CASE WHEN lab
 f AS (SELECT c.*, brier, log_loss, {POINT_SQL} FROM c JOIN b USING (temperature))
 SELECT {outputs('temperature:d tp:i fp:i tn:i fn:i brier:d log_loss:d accuracy:d precision:d recall:d f1:d fpr:d tpr:d')} FROM f""")
 def temperature_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(rb.temperature_sweep(scored(spark, sf), 0.45).drop("roc_auc", "pr_auc", "recall_at_fpr"))
+    return finish(rb.temperature_sweep(scored(spark, sf), 0.45, ranking=False))
 
 
 FOLD_SQL = "folded AS (SELECT *, (doc_id * 31 % 97) % 5 AS fold FROM scored)"
@@ -409,5 +409,5 @@ def expectation_check(spark: SparkSession, sf: str) -> DataFrame:
 WITH {SCORED_SQL}, c AS ({confusion_sql('0.5', 'source')}), f AS (SELECT *, {POINT_SQL} FROM c)
 SELECT {outputs('source:s tp:i fp:i tn:i fn:i accuracy:d precision:d recall:d f1:d')} FROM f""")
 def group_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return finish(rb.group_metrics(scored(spark, sf), "source").select(
+    return finish(rb.group_metrics(scored(spark, sf), "source", ranking=False).select(
         "source", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1"))

@@ -94,8 +94,12 @@ def point_metrics(table: DataFrame) -> dict[str, Column]:
 
 
 def metrics_row(scored: DataFrame, threshold: float | Column = 0.5, group_by: Sequence[str] = (),
-                score: str = "score", label: str = "label", target_fpr: float = fv.TARGET_FPR) -> DataFrame:
-    """The comprehensive metric row per group."""
+                score: str = "score", label: str = "label", target_fpr: float = fv.TARGET_FPR,
+                ranking: bool = True) -> DataFrame:
+    """The comprehensive metric row per group.
+
+    ``ranking=False`` leaves out the areas and the recall at an FPR, which need all distinct scores in order.
+    """
     hit = F.col(score) >= (threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
     y = F.col(label)
     positive = y == 1
@@ -106,6 +110,8 @@ def metrics_row(scored: DataFrame, threshold: float | Column = 0.5, group_by: Se
         F.avg((p - y) * (p - y)).alias("brier"),
         F.avg(-F.when(positive, F.ln(p)).otherwise(F.ln(F.lit(1.0) - p))).alias("log_loss"),
     )
+    if not ranking:
+        return direct.withColumns(point_metrics(direct))
     ranked = ranking_metrics(score_curve(scored, group_by, score, label), group_by, target_fpr)
     ranked = ranked.drop("n_pos", "n_neg", "recall_at_fpr_interp", "threshold_at_fpr_interp")
     if group_by:

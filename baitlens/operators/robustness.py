@@ -113,20 +113,21 @@ def perturb(df: DataFrame, features: Sequence[str], perturbations: Sequence[Pert
 
 def perturbation_sweep(df: DataFrame, features: Sequence[str], scorer: Callable[[DataFrame], DataFrame],
                        perturbations: Sequence[Perturbation] = tuple(DETERMINISTIC), threshold: float = 0.5,
-                       label: str = "label", max_drop: float = 0.10, keep: Sequence[str] = ()) -> DataFrame:
+                       label: str = "label", max_drop: float = 0.10, keep: Sequence[str] = (),
+                       ranking: bool = True) -> DataFrame:
     """Metrics per perturbation with the accuracy lost against the baseline and the verdict."""
     scored = scorer(perturb(df, features, perturbations, [label, *keep]))
     scored = scored.withColumn("score", clip_probability(F.col("score")))
-    table = metrics_row(scored, threshold, ["suite", "perturbation"], label=label)
+    table = metrics_row(scored, threshold, ["suite", "perturbation"], label=label, ranking=ranking)
     # one row per perturbation
     base = F.max(F.when(F.col("suite") == "baseline", F.col("accuracy"))).over(Window.partitionBy())
     lost = table.withColumn("degradation", base - F.col("accuracy"))
     return lost.withColumn("passed", (F.col("degradation") < max_drop).cast("int"))
 
 
-def group_metrics(scored: DataFrame, group: str, threshold: float = 0.5) -> DataFrame:
+def group_metrics(scored: DataFrame, group: str, threshold: float = 0.5, ranking: bool = True) -> DataFrame:
     """Metrics per real sender domain or per time part."""
-    return metrics_row(scored, threshold, [group])
+    return metrics_row(scored, threshold, [group], ranking=ranking)
 
 
 def threshold_sensitivity(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -137,14 +138,14 @@ def threshold_sensitivity(scored: DataFrame, threshold: float = 0.5) -> DataFram
 
 
 def temperature_sweep(scored: DataFrame, threshold: float = 0.5, temperatures: Sequence[float] = tuple(TEMPERATURES),
-                      label: str = "label") -> DataFrame:
+                      label: str = "label", ranking: bool = True) -> DataFrame:
     """Metrics after dividing the logits by each temperature."""
     p = clip_probability(F.col("score"))
     variants = F.array(*[
         F.struct(F.lit(float(t)).alias("temperature"), temperature_scale(p, t).alias("score")) for t in temperatures
     ])
     scaled = scored.select(label, F.explode(variants).alias("_v")).select(label, "_v.*")
-    return metrics_row(scaled, threshold, ["temperature"], label=label)
+    return metrics_row(scaled, threshold, ["temperature"], label=label, ranking=ranking)
 
 
 def robustness_report(df: DataFrame, features: Sequence[str], scorer: Callable[[DataFrame], DataFrame], row_id: str,
