@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ingest import ingest_to_splits as ingest_job
 from ..session import read_table, scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -101,3 +102,35 @@ def io_discovery(spark: SparkSession, sf: str) -> DataFrame:
     found = rd.ingest(spark, [*paths, f"{root}/missing.parquet"])
     counts = found.table.agg(F.count("*").alias("n_rows"), F.count("label").alias("n_label"), F.count("text").alias("n_text"), F.count("url").alias("n_url"))
     return finish(counts.withColumns({"n_files_unique": F.lit(len(paths) == len(set(paths))), "n_skipped": F.lit(len(found.skipped))}))
+
+
+INGEST_SQL = """
+raw AS (
+  SELECT 1 AS place, CASE WHEN quality = 1 THEN 'legitimate' WHEN toxic = 1 THEN 'phishing' ELSE 'unsure' END AS word, text, CAST(NULL AS VARCHAR) AS url
+  FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT 2, CASE WHEN page_id % 3 = 0 THEN 'malicious' ELSE 'benign' END, url, url FROM pages
+  UNION ALL SELECT 3, CASE WHEN turn % 2 = 0 THEN 'ham' ELSE 'spam' END, text, NULL FROM conversations),
+marked AS (SELECT place, CASE word WHEN 'legitimate' THEN 0 WHEN 'benign' THEN 0 WHEN 'ham' THEN 0 WHEN 'unsure' THEN NULL ELSE 1 END AS label, text, url FROM raw
+  WHERE trim(coalesce(text, '')) <> ''),
+single AS (SELECT text, url, arg_min(label, place * 2 + label) AS label FROM marked WHERE label IS NOT NULL GROUP BY text, url),
+numbered AS (SELECT *, row_number() OVER (ORDER BY text NULLS FIRST, url NULLS FIRST) AS row_id FROM single),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || row_id), row_id) AS pos, count(*) OVER (PARTITION BY label) AS size FROM numbered)"""
+
+
+@query("ingest_to_splits", f"""
+WITH {INGEST_SQL}
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(label AS BIGINT) AS label, md5(text) AS text_md5, url, TIMESTAMP '2024-01-01' + to_hours(CAST(row_id - 1 AS INTEGER)) AS timestamp,
+  CASE WHEN pos <= round(size * 0.7::DOUBLE) THEN 'train' WHEN pos <= round(size * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM dealt""")
+def ingest_to_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, pages and conversations written in three formats, then ingested, split and stored."""
+    root = scratch_path(spark, "ingest")
+    docs = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    word = F.when(F.col("quality") == 1, "legitimate").when(F.col("toxic") == 1, "phishing").otherwise("unsure")
+    docs.select(word.alias("class"), F.col("text").alias("body")).write.parquet(f"{root}/a.parquet")
+    pages = read_table(spark, sf, "pages")
+    pages.select(F.when(F.col("page_id") % 3 == 0, "malicious").otherwise("benign").alias("Label"), F.col("url").alias("Link")).write.options(
+        header=True).csv(f"{root}/b.csv")
+    talks = read_table(spark, sf, "conversations")
+    talks.select(F.when(F.col("turn") % 2 == 0, "ham").otherwise("spam").alias("label"), F.col("text").alias("message")).write.json(f"{root}/c.jsonl")
+    stored = ingest_job(spark, [f"{root}/a.parquet", f"{root}/b.csv", f"{root}/c.jsonl"], f"{root}/splits").table
+    return finish(stored.select("row_id", "label", F.md5("text").alias("text_md5"), "url", "timestamp", "split"))
