@@ -159,3 +159,17 @@ def test_quality_grade(spark):
                                  "recall double, precision double, roc_auc double")
     graded = [tuple(r) for r in mt.quality_grade(rows).select("quality_points", "quality_grade").collect()]
     assert graded == [(7, "PRODUCTION READY"), (4, "GOOD MODEL"), (2, "NEEDS IMPROVEMENT"), (0, "POOR PERFORMANCE")]
+
+
+def test_bootstrap_does_not_depend_on_the_layout(spark):
+    from baitlens.operators.metrics import bootstrap_ci
+
+    rows = [(i % 97 / 97, int(i * 7 % 11 < 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    for parts in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out.append({r["metric"]: (round(r["mean"], 9), round(r["ci_low"], 9), round(r["ci_high"], 9)) for r in bootstrap_ci(df, n_boot=60).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1]

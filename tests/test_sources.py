@@ -136,3 +136,17 @@ def test_configuration(monkeypatch):
     assert (config.operating_point, config.use_smote, config.svd_components, config.cost_fn) == ("precision", False, 512, 9.0)
     shared = EvaluationConfig(target_fpr=0.01).to_training(use_svd=False)
     assert shared.target_fpr == 0.01 and shared.use_svd is False and shared.calibration_method == "isotonic"
+
+
+def test_ingest_job_keeps_the_first_source_and_stores_splits(spark, tmp_path):
+    from baitlens.plans.ingest import ingest_to_splits, prepared_rows
+
+    spark.createDataFrame([("spam", "same text"), ("ham", None), ("what", "x"), ("ham", "  ")], "label string, text string").write.parquet(f"{tmp_path}/a.parquet")
+    spark.createDataFrame([("ham", "same text"), ("ham", "own text")], "label string, text string").write.json(f"{tmp_path}/b.jsonl")
+    job = ingest_to_splits(spark, [f"{tmp_path}/a.parquet", f"{tmp_path}/b.jsonl", f"{tmp_path}/none.parquet"], f"{tmp_path}/out")
+    rows = {r["text"]: r for r in job.table.collect()}
+    assert {t: r["label"] for t, r in rows.items()} == {"same text": 1, "own text": 0}
+    assert sorted(r["row_id"] for r in rows.values()) == [1, 2] and len(job.skipped) == 1
+    assert all(r["timestamp"] is not None and r["split"] in ("train", "val", "test") for r in rows.values())
+    nothing = spark.createDataFrame([], "label int, text string, url string, timestamp timestamp_ntz, source_place long")
+    assert prepared_rows(nothing).count() == 0

@@ -118,3 +118,13 @@ def test_campaign_ids_follow_first_row(spark):
 def test_scratch_below_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_null_groups_get_a_fold_and_no_row_is_lost(spark):
+    from baitlens.operators import splits
+
+    rows = [(i, None if i % 4 == 0 else f"g{i % 13}", i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, grp string, label int")
+    for folded in (splits.group_folds(df, "grp"), splits.stratified_group_folds(df, "grp", "label")):
+        found = folded.collect()
+        assert len(found) == 100 and len({r["fold"] for r in found if r["grp"] is None}) == 1
