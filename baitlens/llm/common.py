@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 #: Rows and bytes in one Arrow batch; a batch holds at least one row, whatever its length.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes hashed in one go inside a batch, so that temporary arrays stay small.
 HASH_BYTES = 2 << 20
 
