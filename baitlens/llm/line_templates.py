@@ -135,6 +135,8 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float
     recurring = texts.groupBy(F.col("template").alias("t")).agg(
         F.count("*").alias("n"), F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("home")
     ).where(F.col("n") >= min_texts).select("t", "home")
+    # written first: the join below then has two plain shuffles, and the rows of a frequent template can be split
+    recurring = materialise(recurring, "line-recurring")
     gone = placed.join(by_shuffle(recurring), F.col("template") == F.col("t")).where("text_key <> home")
     return gone.groupBy("text_key").agg(F.collect_set("line").alias("dropped"))
 
