@@ -310,8 +310,9 @@ def near_duplicate_links(keys: DataFrame, texts: DataFrame, weights, similarity:
     meet that can be similar, given how much of them that text has.
     """
     oldest = F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-    leaders = keys.groupBy(F.col("key").alias("k")).agg(oldest.alias("leader"))
-    pairs = keys.join(leaders, F.col("key") == F.col("k")).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    # written first: the join then has two plain shuffles, and the rows of a large bucket can be split
+    leaders = materialise(keys.groupBy(F.col("key").alias("k")).agg(oldest.alias("leader")), "near-leaders")
+    pairs = keys.join(by_shuffle(leaders), F.col("key") == F.col("k")).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     tried = materialise(compared(materialise(pairs, "near-pairs"), texts, weights, similarity, describe=True), "near-tried")
     roots = components(tried.where("good").select("a", "b"), "near-roots")
     met = unsettled_pairs(tried.withColumnRenamed("b", "leader"), roots, similarity).join(
