@@ -112,7 +112,8 @@ def _profiles(lines: DataFrame, min_texts: int) -> DataFrame:
     """``l profile``: the most frequent token of each place, for the leaves that enough texts reach."""
     reached = lines.select("leaf", "text_key").distinct().groupBy(F.col("leaf").alias("l")).count().where(F.col("count") >= min_texts)
     leaves = materialise(reached.select("l"), "line-leaves")
-    distinct = lines.join(by_shuffle(leaves), F.col("leaf") == F.col("l"), "left_semi").groupBy("leaf", "whole", "codes").count()
+    # copies of a line collapse before the leaf's rows come together (a semi join would be moved below the aggregate)
+    distinct = lines.groupBy("leaf", "whole", "codes").count().join(by_shuffle(leaves), F.col("leaf") == F.col("l"))
     places = distinct.select("leaf", "count", F.posexplode(F.split(F.hex("codes"), "(?<=\\G..)")).alias("place", "code")).where("code <> ''")
     votes = places.groupBy("leaf", "place", "code").agg(F.sum("count").alias("n"))
     best = votes.groupBy("leaf", "place").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
