@@ -167,7 +167,7 @@ def blocks_of(ordered: DataFrame, k: int) -> DataFrame:
 
 
 def interval_pairs(boxes: DataFrame, k: int, epsilon: float) -> DataFrame:
-    """Pairs ``a b`` of blocks (``pos``, ``label``, ``dim`` and bounds) that may hold vectors within epsilon."""
+    """Pairs ``a b`` of blocks (``pos`` from 0, ``label``, ``dim`` and bounds) that may hold vectors within epsilon."""
     lows, highs = [f"lo{i}" for i in range(k)], [f"hi{i}" for i in range(k)]
     total = boxes.count()
     levels = 0
@@ -261,7 +261,8 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     k = axes.shape[1]
     with batch_rows(spark, BLOCK):
         cut = materialise(blocks_of(grid_ordered(nodes, axes, epsilon), k), "grid-blocks")
-    place = materialise(with_rank(cut.select("part", "seq"), ["part", "seq"], "pos"), "grid-positions")
+    # from 0, so that all blocks lie in interval 0 of the top level
+    place = materialise(with_rank(cut.select("part", "seq"), ["part", "seq"], "pos").withColumn("pos", F.col("pos") - 1), "grid-positions")
     blocks = materialise(cut.join(place.withColumnsRenamed({"part": "p", "seq": "s"}), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))), "grid-placed")
     pairs = interval_pairs(blocks.drop("nodes", "copies", "raw"), k, epsilon)
     with batch_rows(spark, 4):

@@ -72,6 +72,25 @@ def test_far_blocks_are_skipped(spark):
     assert pairs == {(a, b) for a in range(20) for b in range(a, 20) if a % 2 == b % 2}
 
 
+@pytest.mark.parametrize("blocks", [7, 8, 9, 64])
+def test_number_of_blocks_is_a_power_of_fan(spark, monkeypatch, blocks):
+    """All vectors of the label link: none may be lost with the last block."""
+    monkeypatch.setattr(g, "BLOCK", 2)
+    counted = []
+
+    def seen(boxes, k, epsilon, pairs=g.interval_pairs):
+        counted.append(boxes.count())
+        return pairs(boxes, k, epsilon)
+
+    monkeypatch.setattr(g, "interval_pairs", seen)
+    n = 2 * blocks
+    rows = [(i, 1, [1.0, i * 1e-3, 0.0]) for i in range(n)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(1)
+    got = sorted(tuple(r) for r in g.near_duplicate_vectors(frame).collect())
+    assert counted == [blocks] and g.FAN == 8
+    assert got == [(i, n - 1, 0, i == 0) for i in range(n)]
+
+
 def test_empty_extra_columns_and_unlinked(spark):
     schema = "vec_id long, label int, embedding array<float>, node string, kept string, n_links string"
     assert g.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
