@@ -140,6 +140,23 @@ def test_neighbours_in_bounded_runs(points):
     assert len(rows) == 120 * 3 and all(r["id"] != r["neighbour"] for r in rows)
 
 
+def test_neighbours_are_exact_over_many_blocks(spark):
+    """Clusters, copies and ties over blocks of 16 rows, string ids: the same neighbours as all pairs give."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5, 8)) * 4
+    # eighths, so that equal distances are equal in floating point
+    x = [np.round((centres[i % 5] + rng.normal(size=8) * 0.3) * 8) / 8 for i in range(300)]
+    x += [x[0]] * 25 + [np.zeros(8)] * 3
+    ids = [f"n{i:03d}" for i in range(len(x))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id string, x array<double>").repartition(3)
+    got = {}
+    for r in vc.nearest_neighbours(frame, "id", "x", 5, chunk_rows=16).orderBy("rank").collect():
+        got.setdefault(r["id"], []).append((round(r["distance"], 9), r["neighbour"]))
+    for i, v in zip(ids, x, strict=True):
+        want = sorted((round(float(np.sqrt(((v - w) ** 2).sum())), 9), j) for j, w in zip(ids, x, strict=True) if j != i)[:5]
+        assert sorted(got[i]) == want
+
+
 def test_smote_balances(points):
     balanced = vc.smote(points, "id", "x", "label")
     counts = {(r["label"], r["synthetic"]): r["n"] for r in balanced.groupBy("label", "synthetic").agg(F.count("*").alias("n")).collect()}
