@@ -1,10 +1,10 @@
 """URL filter: path rules, and a naive Bayes verdict on segmented host and path tokens for the rest.
 
 The longest rule that fits a URL decides. URLs that a rule decides are the labelled rows of the classifier. Concatenated
-host names are cut into words by a unigram Viterbi search; the unigrams are the words of the given texts that make up at
-least :data:`MIN_SHARE` of all words, so there are at most 1 / :data:`MIN_SHARE` of them whatever the input. Tokens of
-host and path are hashed into :data:`BUCKETS` counters for multinomial naive Bayes with add-one smoothing over the buckets in use; these two
-tables are all that reaches the driver and the workers.
+host names are cut into words by a unigram Viterbi search over all words of the given texts, however rare: the substrings of
+each distinct part of a host are joined with the word counts, so that a part is cut with the few words that occur in it.
+Neighbouring letters that no word covers are one unknown word. Tokens of host and path are hashed into :data:`BUCKETS`
+counters for multinomial naive Bayes with add-one smoothing over the buckets in use; these are all that reaches the driver.
 
 Defined results: a null URL or one without ``://`` has empty host and path and the classifier's verdict on no tokens, its
 prior; equal scores, and no labelled row at all, give ``allow``; hosts and paths of any length are read whole; repeated
@@ -27,10 +27,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..session import materialise
-from .common import bounded_batches
+from .common import bounded_batches, by_shuffle
 
 #: The rules as (verdict, host followed by the path's beginning).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Share of all words that a word of :func:`unigrams` has at least.
 MIN_SHARE = 1e-5
 BUCKETS = 1 << 18
 #: Longest word that the segmentation looks for.
@@ -56,23 +57,32 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return rule, verdict
 
 
-def unigrams(texts: DataFrame, column: str, min_share: float = MIN_SHARE) -> dict[str, int]:
-    """Counts of the words (runs of letters, lower case, no mark-up) that make up at least ``min_share`` of all."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """``w n``: the words (runs of letters, lower case, no mark-up) and their counts."""
     plain = F.lower(F.regexp_replace(F.col(f"`{column}`"), "(?s)<[^>]*>", " "))
     words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    counts = materialise(words.groupBy("w").agg(F.count("*").alias("n")), "url-words")
+    return materialise(words.groupBy("w").agg(F.count("*").alias("n")), "url-words")
+
+
+def unigrams(texts: DataFrame, column: str, min_share: float = MIN_SHARE) -> dict[str, int]:
+    """Counts of the words that make up at least ``min_share`` of all, for :func:`token_buckets`."""
+    counts = word_counts(texts, column)
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r["w"]: r["n"] for r in counts.where(F.col("n") >= min_share * total).collect()}
 
 
 @dataclass(frozen=True)
 class Segmenter:
-    """Viterbi over unigram log probabilities; unknown words cost more the longer they are."""
+    """Viterbi over unigram log probabilities; unknown words cost more the longer they are.
+
+    ``total`` counts all words, where ``counts`` has a part of them only.
+    """
 
     counts: dict[str, int]
+    total: int | None = None
 
     def __post_init__(self):
-        total = sum(self.counts.values()) or 1
+        total = (sum(self.counts.values()) if self.total is None else self.total) or 1
         object.__setattr__(self, "score", {w: math.log10(n / total) for w, n in self.counts.items() if len(w) <= MAX_WORD})
         object.__setattr__(self, "unknown", -math.log10(total) - 1)
 
@@ -87,7 +97,19 @@ class Segmenter:
         while end:
             words.append(name[back[end]:end])
             end = back[end]
-        return words[::-1]
+        return self.joined(words[::-1])
+
+    def joined(self, words: list[str]) -> list[str]:
+        """Neighbouring unknown letters, or digits, as one word, which costs the same."""
+        out, open_kind = [], None
+        for word in words:
+            kind = None if word in self.score else word.isdigit()
+            if kind is not None and all(x.isdigit() == kind for x in word) and kind == open_kind:
+                out[-1] += word
+            else:
+                out.append(word)
+            open_kind = kind
+        return out
 
 
 _NUMBER, _PART = re.compile(r"[0-9]+"), re.compile(r"[^\W_]+")
@@ -95,12 +117,13 @@ _NUMBER, _PART = re.compile(r"[0-9]+"), re.compile(r"[^\W_]+")
 
 def tokens(host: str, path: str, segment) -> list[str]:
     """Words of the host's labels with ``h:``, words of the path with ``p:``; numbers by their first digit and length."""
-    found = []
-    for mark, text in (("h:", host), ("p:", path)):
-        for part in _PART.findall(text):
-            for word in segment(part) if mark == "h:" else [part.lower()]:
-                found.append(mark + _NUMBER.sub(lambda m: m[0][0] + "0" * (len(m[0]) - 1), word))
-    return found
+    return marked([word for part in _PART.findall(host) for word in segment(part)], path)
+
+
+def marked(words: Sequence[str], path: str) -> list[str]:
+    """The tokens of a host's words and of a path."""
+    found = ["h:" + w for w in words] + ["p:" + part.lower() for part in _PART.findall(path)]
+    return [_NUMBER.sub(lambda m: m[0][0] + "0" * (len(m[0]) - 1), token) for token in found]
 
 
 def bucket(token: str) -> int:
@@ -142,6 +165,50 @@ def _url_tokens(counts) -> UrlTokens:
     return _MADE[1]
 
 
+@pandas_udf(ArrayType(StringType()))
+def parts_of(hosts: pd.Series) -> pd.Series:
+    return pd.Series([_PART.findall(h) for h in hosts], dtype=object)
+
+
+@pandas_udf(ArrayType(StringType()))
+def pieces_of(parts: pd.Series) -> pd.Series:
+    """The distinct substrings of a part that can be words."""
+    return pd.Series([list({p[i:j] for i in range(len(p)) for j in range(i + 1, min(len(p), i + MAX_WORD) + 1)}) for p in parts], dtype=object)
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``h words`` of the distinct hosts (column ``host``) that have parts; ``counts`` is ``w n`` of all words."""
+    total = int(counts.agg(F.sum("n")).first()[0] or 0)
+
+    @pandas_udf(ArrayType(StringType()))
+    def cut(parts: pd.Series, words: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([Segmenter({} if w is None else dict(zip(w, n.tolist(), strict=True)), total)(p)
+                          for p, w, n in zip(parts, words, numbers, strict=True)], dtype=object)
+
+    placed = materialise(hosts.select("host", F.posexplode(parts_of("host")).alias("i", "part")), "url-host-parts")
+    parts = materialise(placed.select("part").distinct(), "url-parts")
+    pieces = parts.select("part", F.explode(pieces_of("part")).alias("piece"))
+    known = pieces.join(by_shuffle(counts), F.col("piece") == F.col("w")).groupBy(F.col("part").alias("p")).agg(
+        F.collect_list(F.struct("w", "n")).alias("known"))
+    found = parts.join(by_shuffle(known), F.col("part") == F.col("p"), "left").select(
+        F.col("part").alias("p"), cut("part", F.col("known.w"), F.col("known.n")).alias("words"))
+    found = materialise(found, "url-part-words")
+    joined = placed.join(by_shuffle(found), F.col("part") == F.col("p")).groupBy(F.col("host").alias("h")).agg(
+        F.array_sort(F.collect_list(F.struct("i", "words"))).alias("x"))
+    return joined.select("h", F.flatten(F.col("x.words")).alias("words"))
+
+
+@lru_cache(maxsize=200_000)
+def remembered_bucket(token: str) -> int:
+    return bucket(token)
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def word_buckets(words: pd.Series, paths: pd.Series) -> pd.Series:
+    return pd.Series([np.array([remembered_bucket(t) for t in marked([] if w is None else w, p)], np.int32)
+                      for w, p in zip(words, paths, strict=True)], dtype=object)
+
+
 def naive_bayes(labelled: DataFrame) -> tuple[float, np.ndarray]:
     """Log odds of ``block``: of the prior and of each bucket, from rows of ``verdict buckets``; add-one smoothing."""
     classes = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
@@ -168,17 +235,18 @@ def bayes_verdict(buckets: Column, model) -> Column:
 
 
 def filter_urls(pages: DataFrame, url: str = "url", page_id: str = "page_id", words: str = "html",
-                rules: Sequence[tuple[str, str]] = RULES, min_share: float = MIN_SHARE) -> DataFrame:
+                rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """``page_id host path rule verdict``; the unigrams come from the column ``words``."""
     spark = pages.sparkSession
     bounded_batches(spark)
     context = spark.sparkContext
-    counts = context.broadcast(unigrams(pages, words, min_share))
     parts = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"),
                          path_of(F.col(f"`{url}`")).alias("path"))
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = materialise(parts.select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict"),
-                                      token_buckets(F.col("host"), F.col("path"), counts).alias("buckets")), "urls")
+    ruled = materialise(parts.select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict")), "url-rules")
+    found = materialise(host_words(ruled.select("host").distinct(), word_counts(pages, words)), "url-host-words")
+    judged = materialise(ruled.join(by_shuffle(found), F.col("host") == F.col("h"), "left").select(
+        "page_id", "host", "path", "rule", "verdict", word_buckets("words", "path").alias("buckets")), "urls")
     model = context.broadcast(naive_bayes(judged.where("verdict IS NOT NULL")))
     return judged.select("page_id", "host", "path", "rule",
                          F.coalesce("verdict", bayes_verdict(F.col("buckets"), model)).alias("verdict"))

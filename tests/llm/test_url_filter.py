@@ -87,6 +87,20 @@ def test_rules_and_verdicts_equal_brute_force(spark, clashing):
     assert sorted(str(tuple(r)) for r in got.collect()) == brute_verdicts(pages)
 
 
+def test_unknown_letters_and_digits_are_one_word_each():
+    segment = u.Segmenter({"bank": 5, "the": 90})
+    assert segment("zzqbank12") == ["zzq", "bank", "12"] and segment("xy907the") == ["xy", "907", "the"]
+
+
+def test_rare_words_cut_hosts(spark):
+    """One word in 200,000 cuts the hosts; without it its letters tell nothing apart."""
+    html = "filler " * 200_000 + "quokka"
+    urls = ["http://quokkaxyz.com/de/", "http://xyzakkouq.com/fr/"] * 3 + ["http://quokka.net/", "http://akkouqquokka.net/"]
+    pages = spark.createDataFrame([(i, x, html if i == 0 else "") for i, x in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in u.filter_urls(pages).collect()}
+    assert got[6] == "block" and got[7] == "block"
+
+
 def test_empty_and_without_labelled_rows(spark):
     schema = "page_id long, url string, html string"
     assert u.filter_urls(spark.createDataFrame([], schema)).count() == 0
