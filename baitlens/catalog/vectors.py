@@ -122,7 +122,7 @@ def smote_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- models -----------------------------------------------------------------------------------------------
 
-CONFIG = TrainingConfig(rf_trees=20, rf_depth=6, gbt_rounds=10, gbt_depth=4, gbt_step=0.1, lr_max_iter=100)
+CONFIG = TrainingConfig()
 
 
 def training_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -122,3 +122,9 @@ def test_scoring_fallbacks(spark):
     assert sc.feature_view("LR") == "features_lr" and sc.feature_view("RF") == "features_tree"
     marked = sc.predictor(lambda d: d.withColumn("score", F.lit(0.4)), 0.4)(df).first()
     assert marked["prediction"] == 1
+
+
+def test_queries_train_with_the_default_settings():
+    from baitlens.catalog import vectors
+
+    assert vectors.CONFIG == TrainingConfig()
