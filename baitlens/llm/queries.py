@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import byte_bpe, grid_order_join, line_templates, quality_rules, repeated_windows, source_mix, suffix_tree_lm, url_filter, warc_archive, weighted_minhash
+from . import (
+    byte_bpe,
+    embedding_whitening,
+    grid_order_join,
+    line_templates,
+    quality_rules,
+    repeated_windows,
+    source_mix,
+    suffix_tree_lm,
+    url_filter,
+    warc_archive,
+    weighted_minhash,
+)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -52,7 +64,12 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return warc_archive.archive_report(read_table(spark, sf, "pages"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_whitening.whiten(read_table(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_host_quality_rules, op2_byte_bpe, op3_pareto_mix, op4_grid_order_join, op5_suffix_tree_lm, op6_weighted_minhash, op7_repeated_windows, op8_url_filter, op9_line_templates, op10_warc_archive)}
+    op1_host_quality_rules, op2_byte_bpe, op3_pareto_mix, op4_grid_order_join, op5_suffix_tree_lm, op6_weighted_minhash,
+    op7_repeated_windows, op8_url_filter, op9_line_templates, op10_warc_archive, op12_embedding_whitening)}
 ORACLES = {"op1_host_quality_rules": quality_rules.ORACLE, "op3_pareto_mix": source_mix.ORACLE,
            "op10_warc_archive": warc_archive.ORACLE}
