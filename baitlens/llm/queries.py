@@ -10,6 +10,7 @@ from . import (
     embedding_whitening,
     grid_order_join,
     line_templates,
+    merkle_manifest,
     quality_rules,
     repeated_windows,
     source_mix,
@@ -64,12 +65,16 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return warc_archive.archive_report(read_table(spark, sf, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle_manifest.tampered_report(read_table(spark, sf, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_whitening.whiten(read_table(spark, sf, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_host_quality_rules, op2_byte_bpe, op3_pareto_mix, op4_grid_order_join, op5_suffix_tree_lm, op6_weighted_minhash,
-    op7_repeated_windows, op8_url_filter, op9_line_templates, op10_warc_archive, op12_embedding_whitening)}
+    op7_repeated_windows, op8_url_filter, op9_line_templates, op10_warc_archive, op11_merkle_manifest, op12_embedding_whitening)}
 ORACLES = {"op1_host_quality_rules": quality_rules.ORACLE, "op3_pareto_mix": source_mix.ORACLE,
-           "op10_warc_archive": warc_archive.ORACLE}
+           "op10_warc_archive": warc_archive.ORACLE, "op11_merkle_manifest": merkle_manifest.ORACLE}
