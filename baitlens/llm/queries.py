@@ -11,6 +11,7 @@ from . import (
     grid_order_join,
     line_templates,
     merkle_manifest,
+    metric_tree_search,
     quality_rules,
     repeated_windows,
     source_mix,
@@ -73,8 +74,14 @@ def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_whitening.whiten(read_table(spark, sf, "embeddings"))
 
 
+def op13_metric_tree_search(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_tree_search.top_k(read_table(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_host_quality_rules, op2_byte_bpe, op3_pareto_mix, op4_grid_order_join, op5_suffix_tree_lm, op6_weighted_minhash,
-    op7_repeated_windows, op8_url_filter, op9_line_templates, op10_warc_archive, op11_merkle_manifest, op12_embedding_whitening)}
+    op7_repeated_windows, op8_url_filter, op9_line_templates, op10_warc_archive, op11_merkle_manifest, op12_embedding_whitening,
+    op13_metric_tree_search)}
 ORACLES = {"op1_host_quality_rules": quality_rules.ORACLE, "op3_pareto_mix": source_mix.ORACLE,
-           "op10_warc_archive": warc_archive.ORACLE, "op11_merkle_manifest": merkle_manifest.ORACLE}
+           "op10_warc_archive": warc_archive.ORACLE, "op11_merkle_manifest": merkle_manifest.ORACLE,
+           "op13_metric_tree_search": metric_tree_search.ORACLE}
