@@ -4,8 +4,8 @@ Components become whole numbers, floor(1024 * c). With M the largest norm, a vec
 query q is (q, 0): the nearest points have the largest inner products, so that a metric tree answers the search.
 
 Build: from the root down, a bounded number of a node's points, drawn by hash, become routing objects; every point goes to the
-nearest one; children above a page's capacity are split again. A page is a row: of routing objects, each with its covering
-radius and its distance to the parent's routing object, or of points with that distance. All pages are Spark tables, written to
+nearest one; children above a few pages are split again. A page is a row: of routing objects, each with its covering radius and
+its distance to the parent's routing object, or of points with that distance, by which a node's few pages of points are cut. All pages are Spark tables, written to
 the shared folder. Equal vectors are one point that keeps its k + 1 smallest ids, all that can ever be told of them.
 
 Search: every query has a queue of nodes with upper bounds of their scores, in one table. A wave takes each query's best open
@@ -36,8 +36,10 @@ from .common import bounded_batches, by_shuffle
 from .grid_order_join import batch_rows
 
 SCALE, LARGEST, BEST, EVERY = 1024, 2.0 ** 52, 10, 100
-#: Points in a page, children of a node, rounds of splitting, queries in a block, nodes a query visits in the first wave and growth.
-CAPACITY, FAN, LEVELS, BLOCK, WIDTH, WIDER = 512, 32, 10, 1024, 4, 4
+#: Points in a page, pages of a node that is not split again, children of a node, rounds of splitting, queries in a block.
+CAPACITY, RINGS, FAN, LEVELS, BLOCK = 1024, 4, 64, 9, 1024
+#: Nodes that a query visits in the first wave, and how much more in each later one.
+WIDTH, WIDER = 2, 8
 #: Rounding of distances, as a share of M.
 SLACK = 1e-7
 ROOT = 1
@@ -168,9 +170,9 @@ def packed(rows: DataFrame, order: Sequence[str], fixed: Sequence[str], blobs: S
 
 
 def routing_objects(points: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``grp xs aways``: up to FAN points of each group above a page's capacity, drawn by hash, at least two."""
-    fan = F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil(2 * F.col("n") / CAPACITY)))
-    large = sizes.where(F.col("n") > CAPACITY).select(F.col("grp").alias("g"), "n")
+    """``grp xs aways``: up to FAN points of each group that is to be split, drawn by hash, at least two."""
+    fan = F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil(1.5 * F.col("n") / CAPACITY)))
+    large = sizes.where(F.col("n") > CAPACITY * RINGS).select(F.col("grp").alias("g"), "n")
     draw = F.pmod(F.xxhash64("x"), F.lit(1 << 40)).alias("draw")
     few = points.select("grp", "x", "away", draw).join(broadcast_if_small(large), F.col("grp") == F.col("g")).where(
         F.col("draw") < F.lit(4.0 * (1 << 40)) * fan / F.col("n"))
@@ -229,19 +231,18 @@ def build(points: DataFrame, space: Space) -> Tree:
         else:
             settled = now.join(split, F.col("grp") == F.col("g"), "left_anti")
         leaves = packed(settled, ["away"], ["away"], ["x", "ids"], CAPACITY)
-        pages.append(materialise(leaves.select("grp", F.lit(True).alias("leaf"), "m", "x", F.lit(b"").alias("radius"), "away", "ids", "sizes"), "mtree-leaves"))
+        pages.append(leaves.select("grp", F.lit(True).alias("leaf"), "m", "x", F.lit(b"").alias("radius"), "away", "ids", "sizes"))
         if routes is None:
             break
         blocks = materialise(packed(now.join(split, F.col("grp") == F.col("g"), "left_semi"), ["away"], [], ["x", "ids"], BLOCK), "mtree-blocks")
         with batch_rows(spark, 4):
             now = materialise(assigned(blocks, routes, space), "mtree-points")
         sizes = materialise(now.groupBy("grp").agg(F.count("*").alias("n"), F.max("away").alias("radius")), "mtree-sizes")
-        with batch_rows(spark, 64):
-            pages.append(materialise(node_pages(routes, sizes), "mtree-nodes"))
+        pages.append(node_pages(routes, sizes))
     whole = pages[0]
     for page in pages[1:]:
         whole = whole.unionByName(page)
-    return Tree(whole, space)
+    return Tree(materialise(whole, "mtree-pages"), space)
 
 
 def look(page: dict, block: dict, space: Space, k: int) -> tuple[list[np.ndarray], int]:

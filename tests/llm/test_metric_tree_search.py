@@ -39,7 +39,7 @@ EDGES = [(5000, None), (5001, []), (5002, [float("nan")] * 8), (5100, [float("in
 
 @pytest.mark.parametrize("capacity, fan, block, width", [(512, 32, 1024, 4), (8, 2, 3, 1), (16, 4, 1024, 2), (1, 2, 5, 4)])
 def test_equals_brute_force(spark, monkeypatch, capacity, fan, block, width):
-    for name, value in (("CAPACITY", capacity), ("FAN", fan), ("BLOCK", block), ("WIDTH", width)):
+    for name, value in (("RINGS", 1), ("CAPACITY", capacity), ("FAN", fan), ("BLOCK", block), ("WIDTH", width)):
         monkeypatch.setattr(m, name, value)
     rows = clusters(1, 120) + EDGES
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -71,6 +71,7 @@ def test_few_rows_no_queries_empty_and_clashing_columns(spark):
 def test_pages_keep_their_bounds_and_spare_products(spark, monkeypatch):
     """Radii cover all points below, parent distances are true, and a search by the stored bounds computes few products."""
     monkeypatch.setattr(m, "CAPACITY", 16)
+    monkeypatch.setattr(m, "RINGS", 1)
     monkeypatch.setattr(m, "FAN", 8)
     rows = clusters(2, 600, dim=4, centres=20, spread=0.01)
     points = materialise(m.points_of(m.whole_vectors(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding"), 3), "t")
