@@ -67,7 +67,30 @@ def fold_group(spark: SparkSession, sf: str) -> DataFrame:
     return finish(sp.group_folds(read_table(spark, sf, "events").select("event_id", "user_id"), "user_id", 5))
 
 
-@query("fold_stratified_group")
+@query("fold_stratified_group", """
+WITH RECURSIVE c AS (SELECT conv_id, concat_ws('|', role, CAST(CAST(length(text) > 300 AS INTEGER) AS VARCHAR)) AS stratum FROM conversations),
+st AS (SELECT stratum, count(*) AS total, row_number() OVER (ORDER BY stratum NULLS FIRST) AS i FROM c GROUP BY stratum),
+tot AS (SELECT list(total ORDER BY i) AS totals, count(*) AS s FROM st),
+per AS (SELECT g.conv_id, st.i, count(c.conv_id) AS n FROM (SELECT DISTINCT conv_id FROM c) g CROSS JOIN st
+  LEFT JOIN c ON c.conv_id = g.conv_id AND c.stratum IS NOT DISTINCT FROM st.stratum GROUP BY g.conv_id, st.i),
+vec AS (SELECT conv_id, list(n ORDER BY i) AS v, list({'i': i, 'n': n} ORDER BY i) FILTER (n > 0) AS parts FROM per GROUP BY conv_id),
+o AS (SELECT conv_id, v, row_number() OVER (ORDER BY s * list_sum(list_transform(v, lambda x: x * x)) - list_sum(v) * list_sum(v) DESC,
+  parts, md5('42|' || conv_id), CAST(conv_id AS VARCHAR)) AS r FROM vec, tot),
+t AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS conv_id, CAST(-1 AS BIGINT) AS fold,
+    list_transform(range(5), lambda f: list_transform(totals, lambda x: CAST(0 AS BIGINT))) AS held FROM tot
+  UNION ALL
+  SELECT r, conv_id, fold, list_transform(held, lambda h, f: CASE WHEN f = fold + 1 THEN list_transform(h, lambda x, i: x + v[i]) ELSE h END)
+  FROM (
+    SELECT o.r, o.conv_id, o.v, t.held, list_sort(list_transform(range(1, 6), lambda f: {
+      'score': list_sum(list_transform(tot.totals, lambda total, i: CASE WHEN o.v[i] = 0 THEN CAST(0 AS DOUBLE) ELSE
+        sqrt(CAST(list_sum(list_transform(range(1, 6), lambda g: pow(
+          5 * (t.held[g][i] + CASE WHEN g = f THEN o.v[i] ELSE 0 END)
+          - o.v[i] - list_sum(list_transform(t.held, lambda h: h[i])), 2))) AS DOUBLE)) / total END)),
+      'held_rows': list_sum(t.held[f]), 'f': f - 1}))[1].f AS fold
+    FROM t JOIN o ON o.r = t.r + 1, tot)),
+folded AS (SELECT c.conv_id, c.stratum, t.fold FROM c JOIN t USING (conv_id))
+SELECT CAST(fold AS BIGINT) AS fold, stratum, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS straddling_groups FROM folded GROUP BY fold, stratum""")
 def fold_stratified_group(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts per fold and stratum, with the number of groups seen in more than one fold (0)."""
     talks = read_table(spark, sf, "conversations").withColumn(

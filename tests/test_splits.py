@@ -76,13 +76,94 @@ def test_group_folds_balance_and_integrity(spark):
     assert [r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).orderBy("fold").collect()] == pytest.approx([200] * 3, abs=12)
 
 
-def test_many_groups_use_buckets(spark, monkeypatch):
-    monkeypatch.setattr(sp, "GROUP_ITEMS_PER_FOLD", 10)
-    df = spark.range(5000).withColumn("g", F.when(F.col("id") < 1500, "hot").otherwise((F.col("id") % 900).cast("string")))
-    folded = sp.group_folds(df, "g", 4)
-    assert folded.count() == 5000
+def plain_greedy(sizes, k):
+    """Folds of ``{name: size}`` by the plain rule, group by group."""
+    loads, found = [0] * k, {}
+    for name, size in sorted(sizes.items(), key=lambda g: (-g[1], g[0])):
+        fold = loads.index(min(loads))
+        loads[fold] += size
+        found[name] = fold
+    return found
+
+
+@pytest.mark.parametrize("seed, groups, most, k", [(1, 40, 3, 2), (2, 2000, 9, 2), (3, 700, 1, 5), (4, 60, 400, 7), (5, 3, 5, 5)])
+def test_group_folds_equal_the_plain_greedy(spark, seed, groups, most, k):
+    """Sizes with many repeats, a group with a third of all rows, more folds than groups."""
+    rng = np.random.default_rng(seed)
+    sizes = {f"g{i}": int(n) for i, n in enumerate(rng.integers(1, most + 1, groups))}
+    sizes["g0"] = max(1, sum(sizes.values()) // 2)
+    df = spark.createDataFrame(list(sizes.items()), "g string, n int").select("g", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    folded = sp.group_folds(df, "g", k)
+    assert {r["g"]: r["fold"] for r in folded.select("g", "fold").distinct().collect()} == plain_greedy(sizes, k)
+    assert folded.count() == sum(sizes.values())
+
+
+def test_a_hundred_thousand_groups_equal_the_plain_greedy(spark):
+    df = spark.range(100_000).select(F.col("id").cast("string").alias("g"), F.explode(F.sequence(F.lit(1), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int") + 1)).alias("i"))
+    sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
+    assert {r["g"]: r["fold"] for r in sp.group_folds(df, "g", 5).select("g", "fold").distinct().collect()} == plain_greedy(sizes, 5)
+
+
+def test_dealing_in_closed_form():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        k, step, items = int(rng.integers(1, 6)), int(rng.integers(1, 5)), int(rng.integers(1, 40))
+        start = rng.integers(0, 20, k).tolist()
+        ties = rng.permutation(k).tolist()
+        phases, got = sp._dealt(start, ties, step, items)
+        loads, picks = list(start), []
+        for _ in range(items):
+            picks.append(min(range(k), key=lambda f: (loads[f], ties[f])))
+            loads[picks[-1]] += step
+        ends = [first for first, _ in phases[1:]] + [items]
+        assert [turn[i % len(turn)] for (first, turn), end in zip(phases, ends) for i in range(end - first)] == picks
+        assert [x + n * step for x, n in zip(start, got)] == loads
+
+
+def plain_stratified(vectors, k):
+    """Folds of ``[(name, counts)]``, taken in the given order, by standard deviations of shares over all folds and strata."""
+    totals = np.sum([v for _, v in vectors], axis=0)
+    held, found = np.zeros((k, len(totals))), {}
+    for name, v in vectors:
+        best = None
+        for fold in range(k):
+            held[fold] += v
+            key = (round(float(np.mean(np.std(held / totals, axis=0))), 12), held[fold].sum() - sum(v), fold)
+            held[fold] -= v
+            best = key if best is None or key < best else best
+        held[best[2]] += v
+        found[name] = best[2]
+    return found, held
+
+
+@pytest.mark.parametrize("seed, groups, strata, k", [(1, 300, 3, 4), (2, 120, 5, 3), (3, 50, 2, 5)])
+def test_stratified_group_folds_are_as_even_as_the_plain_greedy(spark, seed, groups, strata, k):
+    rng = np.random.default_rng(seed)
+    rows = [(f"g{g}", f"s{s}") for g in range(groups) for s in range(strata) for _ in range(int(rng.integers(0, 3)))]
+    rows += [("g1", "s0")] * 40 + [(None, "s1")] * 3 + [("g2", None)] * 2
+    folded = sp.stratified_group_folds(spark.createDataFrame(rows, "g string, s string"), "g", "s", k)
+    got = folded.collect()
+    assert len(got) == len(rows)
+    fold = {r["g"]: r["fold"] for r in got}
+    assert all(fold[r["g"]] == r["fold"] for r in got)
+    names = [None, *sorted({s for _, s in rows if s is not None})]
+    vectors = {g: [sum(1 for x, y in rows if x == g and y == s) for s in names] for g in fold}
+    import hashlib
+
+    def place(g):
+        v, name = vectors[g], "\0null" if g is None else g
+        parts = [(i, n) for i, n in enumerate(v) if n]
+        return -(len(v) * sum(n * n for n in v) - sum(v) ** 2), parts, hashlib.md5(f"42|{name}".encode()).hexdigest(), name
+
+    want, _ = plain_stratified([(g, vectors[g]) for g in sorted(vectors, key=place)], k)
+    assert fold == want
+
+
+def test_many_strata_are_no_limit(spark):
+    df = spark.range(1200).select((F.col("id") % 400).cast("string").alias("g"), (F.col("id") % 300).cast("string").alias("s"))
+    folded = sp.stratified_group_folds(df, "g", "s", 4)
     assert folded.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
-    assert max(r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()) == 1500
+    assert [r["count"] for r in folded.groupBy("fold").count().collect()] == [300] * 4
 
 
 def test_stratified_group_folds(spark):
@@ -91,8 +172,6 @@ def test_stratified_group_folds(spark):
     assert folded.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
     shares = [r["share"] for r in folded.groupBy("fold").agg(F.avg((F.col("s") == "p").cast("int")).alias("share")).collect()]
     assert shares == pytest.approx([0.2] * 3, abs=0.03)
-    with pytest.raises(ValueError):
-        sp.stratified_group_folds(df.withColumn("s", F.col("id").cast("string")), "g", "s")
 
 
 def test_time_series_folds(spark):
