@@ -177,7 +177,7 @@ def temporal_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def _grams_sql(table: str, key: str, low: int, high: int) -> str:
     parts = " UNION ALL ".join(
-        f"SELECT {key}, substr(t, i, {n}) AS term FROM (SELECT {key}, t, unnest(range(1, length(t) - {n - 2})) AS i FROM {table})"
+        f"SELECT {key}, unnest(list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n}))) AS term FROM {table}"
         for n in range(low, high + 1))
     return f"SELECT {key}, term, count(*) AS tf FROM ({parts}) GROUP BY ALL"
 
@@ -211,38 +211,80 @@ def near_dup_filter(spark: SparkSession, sf: str) -> DataFrame:
     return finish(drop_near_duplicates(edited_turns(spark, sf), "row_id", "text").select("row_id", "split"))
 
 
-@query("near_dup_documents")
+def _near_sql(source: str, near: str) -> str:
+    """CTEs over ``source`` (row_id, text, split): ``near`` has the rows with a training row at a cosine of 0.975.
+
+    Pairs are looked for through each row's rarest n-grams, up to where the squared length of the rest is below 0.9. Where one
+    of the two parts ends, the rest adds less than sqrt(0.9), so the parts must add the difference.
+    """
+    return f"""
+n_text AS (SELECT row_id, split, regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]{{2,}}', ' ', 'g') AS t FROM {source}),
+n_tf AS MATERIALIZED ({_grams_sql('n_text', 'row_id', 3, 6)}),
+n_voc AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM n_text WHERE split = 'train'))::DOUBLE / (1 + count(*))) + 1 AS idf
+  FROM n_tf JOIN n_text USING (row_id) WHERE split = 'train' GROUP BY term HAVING count(*) >= 2),
+n_raw AS (SELECT row_id, term, df, tf * idf AS raw FROM n_tf JOIN n_voc USING (term)),
+n_len AS (SELECT row_id, sqrt(sum(raw * raw)) AS len FROM n_raw GROUP BY row_id),
+n_w AS MATERIALIZED (SELECT row_id, split, term, df, raw / len AS w FROM n_raw JOIN n_len USING (row_id) JOIN n_text USING (row_id)),
+n_rare AS MATERIALIZED (SELECT * FROM (SELECT row_id, split, term, w, sum(w * w) OVER (PARTITION BY row_id ORDER BY df DESC, term DESC) AS rest FROM n_w)
+  WHERE rest >= 0.9 - 1e-9),
+n_pairs AS (SELECT q.row_id, b.row_id AS other FROM n_rare q JOIN n_rare b USING (term) WHERE q.split <> 'train' AND b.split = 'train'
+  GROUP BY q.row_id, b.row_id HAVING sum(q.w * b.w) >= 0.975 - sqrt(0.9) - 1e-6),
+{near} AS MATERIALIZED (SELECT DISTINCT row_id FROM (SELECT p.row_id, p.other, sum(a.w * b.w) AS s FROM n_pairs p JOIN n_w a ON a.row_id = p.row_id
+  JOIN n_w b ON b.row_id = p.other AND b.term = a.term GROUP BY p.row_id, p.other) WHERE s >= 0.975)"""
+
+
+@query("near_dup_documents", f"""
+WITH src AS (SELECT doc_id AS row_id, text, {split_sql('doc_id')} AS split FROM documents), {_near_sql('src', 'near')}
+SELECT CAST(row_id AS BIGINT) AS doc_id, split FROM src WHERE row_id NOT IN (SELECT row_id FROM near)""")
 def near_dup_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in full: those of validation and test without a close training document."""
     kept = drop_near_duplicates(split_documents(spark, sf), "doc_id", "text")
     return finish(kept.select("doc_id", "split"))
 
 
-CHAIN_SQL = f"""
+def _chain_sql(timed: bool, near: bool) -> str:
+    """The steps of the chain as CTEs that end in ``f`` (and ``b`` with the latest kept times)."""
+    same = "t.text = s.text AND t.lang = s.lang AND t.sender_domain = s.sender_domain" + " AND t.timestamp = s.timestamp" * timed
+    steps = f"""
 c AS (SELECT d.doc_id, d.text, d.lang, d.n_chars || '-' || d.source AS sender_domain,
   TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id // 2 AS INTEGER)) AS timestamp, {split_sql('d.doc_id')} AS split FROM documents d),
-e AS (SELECT * FROM c s WHERE split = 'train'
-  OR (split = 'val' AND NOT EXISTS (SELECT 1 FROM c t WHERE t.split = 'train' AND t.text = s.text AND t.lang = s.lang AND t.sender_domain = s.sender_domain AND t.timestamp = s.timestamp))
-  OR (split = 'test' AND NOT EXISTS (SELECT 1 FROM c t WHERE t.split <> 'test' AND t.text = s.text AND t.lang = s.lang AND t.sender_domain = s.sender_domain AND t.timestamp = s.timestamp))),
+x AS MATERIALIZED (SELECT * FROM c s WHERE split = 'train'
+  OR (split = 'val' AND NOT EXISTS (SELECT 1 FROM c t WHERE t.split = 'train' AND {same}))
+  OR (split = 'test' AND NOT EXISTS (SELECT 1 FROM c t WHERE t.split <> 'test' AND {same}))),"""
+    if near:
+        steps += f"""
+src AS (SELECT doc_id AS row_id, trim(text, ' ') AS text, split FROM x), {_near_sql('src', 'near')},
+e AS MATERIALIZED (SELECT * FROM x WHERE doc_id NOT IN (SELECT row_id FROM near)),"""
+    else:
+        steps += "\ne AS (SELECT * FROM x),"
+    return steps + """
 f AS (SELECT * FROM e WHERE split = 'train' OR (split = 'val' AND sender_domain NOT IN (SELECT sender_domain FROM e WHERE split = 'train'))
   OR (split = 'test' AND sender_domain NOT IN (SELECT sender_domain FROM e WHERE split <> 'test'))),
 a AS (SELECT max(timestamp) FILTER (WHERE split = 'train') AS tm FROM f),
 b AS (SELECT max(timestamp) AS vm FROM f, a WHERE split = 'val' AND timestamp > tm)"""
 
 
-@query("leakage_chain", f"""
-WITH {CHAIN_SQL}
+LAST_STEP_SQL = """
 SELECT CAST(doc_id AS BIGINT) AS doc_id, split FROM f, a, b
-WHERE split = 'train' OR (split = 'val' AND timestamp > tm) OR (split = 'test' AND (vm IS NULL OR timestamp > vm))""")
+WHERE split = 'train' OR (split = 'val' AND timestamp > tm) OR (split = 'test' AND (vm IS NULL OR timestamp > vm))"""
+
+
+@query("leakage_chain", f"WITH {_chain_sql(timed=True, near=False)} {LAST_STEP_SQL}")
 def leakage_chain(spark: SparkSession, sf: str) -> DataFrame:
     return finish(remove_leakage(_chain(spark, sf), "doc_id", near=False).select("doc_id", "split"))
 
 
-@query("leakage_chain_near")
+@query("leakage_chain_near", f"WITH {_chain_sql(timed=False, near=True)} SELECT CAST(doc_id AS BIGINT) AS doc_id, split FROM f")
 def leakage_chain_near(spark: SparkSession, sf: str) -> DataFrame:
     return finish(remove_leakage(_chain(spark, sf).drop("timestamp"), "doc_id", near=True).select("doc_id", "split"))
 
 
+@query("leakage_chain_whole", f"WITH {_chain_sql(timed=True, near=True)} {LAST_STEP_SQL}")
+def leakage_chain_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All four steps: exact copies, near copies, senders, time."""
+    return finish(remove_leakage(_chain(spark, sf), "doc_id").select("doc_id", "split"))
+
+
 def _chain(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     hours = F.make_dt_interval(F.lit(0), F.floor(F.col("doc_id") / 2).cast("int"))

@@ -7,7 +7,6 @@ import __spark_entry__ as entry_point
 from baitlens import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"leakage_chain_near", "near_dup_documents"}  # covered by brute force in test_leakage
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [*catalog.queries()])
 def test_query(spark, con, name):
     status, _, _, rows = compare(spark, con, name, SF)
     assert status in ("ok", "rows-only"), status
