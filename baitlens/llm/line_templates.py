@@ -2,16 +2,22 @@
 
 Lines are the parts between line feeds. Tokens that hold a digit are variable fields. The tree has a fixed depth: a
 leaf is a token count and the first :data:`DEPTH` tokens. A leaf that enough texts reach gets a profile, the most
-frequent token of each place; its lines that agree with the profile in :data:`SIMILARITY` of all places are one template,
-in which the other places are variable fields. Any other line is a template of its own (fields generalised). A template
-that at least ``min_texts`` different texts hold is dropped everywhere but in the text of the smallest id that has it.
+frequent token of each place among its distinct lines; lines that agree with it in :data:`SIMILARITY` of the places behind
+the leading tokens, and in two of them at least, are one template, in which the other places are variable fields. Where
+that template recurs, the leaf's other lines get a profile of their own, and so on until a leaf has no further template. Any
+other line, and each line of such a template too, is a template of its own (fields generalised; a line of fields only, as it is
+written).
 
-Whole copies of a text count as one text. Places are compared by one byte of a hash; equality of leaves and of whole
+A template that at least ``min_texts`` different texts hold is dropped everywhere but in the text of the smallest id
+that has it; so is a line of its own, and a long one (:data:`LONG` tokens, of which :data:`SIMILARITY` are no fields, or
+which are all fields) from the second text on.
+
+Whole copies of a text count as one text. Places are compared by two bytes of a hash; equality of leaves and of whole
 lines is by 64 bits. Profiles come from distinct lines with their counts, so a line that many texts repeat is one row.
 
-Defined results: a null text stays null, an empty one empty; a line without a word, or of variable fields only, always
-stays; lines of any length count whole; ties between the tokens of a place go to the smaller hash; repeated rows are
-treated alike; an empty table gives an empty result; other columns are left alone.
+Defined results: a null text stays null, an empty one empty; a line without a word always stays; lines of any length count
+whole; ties between the tokens of a place go to the larger code; repeated rows are treated alike; an empty table gives an
+empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,29 +30,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from ..session import materialise
 from .common import bounded_batches, by_shuffle, bytes_of, fresh, mix, sealed, word_hashes, word_spans
 
-DEPTH, SIMILARITY, MIN_TEXTS = 4, 0.8, 10
+DEPTH, SIMILARITY, MIN_TEXTS, LONG = 4, 0.8, 10, 10
 _FIELD = np.uint64(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
 def parse_lines(texts) -> tuple[np.ndarray, ...]:
-    """Of every line with a word that is not all variable fields: row, line number, leaf, whole line, and codes.
+    """Of every line with a word: row, line number, leaf, whole line, whether it is long, and codes.
 
-    The codes are one byte per token, 0 for a field; they come as one array with the offsets of the lines.
+    A line of fields only has no leaf (0). The codes are two bytes per token, 0 for a field; they come as one array with
+    the offsets of the lines.
     """
     data, offsets = bytes_of(texts)
     starts, ends, _ = word_spans(data, offsets)
-    hashes = word_hashes(data, starts, ends)
+    raw = word_hashes(data, starts, ends)
+    hashes = raw.copy()
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
     field = digits[ends] > digits[starts]
     hashes[field] = _FIELD
-    codes = ((hashes >> np.uint64(56)) | np.uint64(1)).astype(np.uint8)
+    codes = ((hashes >> np.uint64(48)) | np.uint64(1)).astype(">u2")
     codes[field] = 0
     breaks = np.flatnonzero(data == 10)
     # a line begins at a text's start or after a line feed; equal starts (empty texts) are kept apart by the row
@@ -58,21 +66,25 @@ def parse_lines(texts) -> tuple[np.ndarray, ...]:
     line_end = np.concatenate([line_start[1:], [len(data)]]) if len(row) else line_start
     first, last = np.searchsorted(starts, line_start), np.searchsorted(starts, line_end)
     plain = np.concatenate([[0], np.cumsum(~field)])
-    used = plain[last] > plain[first]
+    used = last > first
     row, number, first, last = row[used], number[used], first[used], last[used]
-    size = last - first
+    size, words = last - first, plain[last] - plain[first]
+    alone = words == 0
+    long = (size >= LONG) & (alone | (words >= SIMILARITY * size))
     leaf = mix(size.astype(np.uint64))
     for k in range(DEPTH):
         has = size > k
         leaf[has] = mix(leaf[has] ^ hashes[first[has] + k] + np.uint64(k))
     taken = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     place = np.arange(len(taken)) - np.repeat(np.cumsum(size) - size, size)
-    weighed = mix(hashes[taken] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    told = np.where(np.repeat(alone, size), raw[taken], hashes[taken])
+    weighed = mix(told + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     whole = mix(np.add.reduceat(weighed, np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64))
-    return row, number, leaf.view(np.int64), whole.view(np.int64), codes[taken], np.concatenate([[0], np.cumsum(size)])
+    leaf[alone] = 0
+    return row, number, leaf.view(np.int64), whole.view(np.int64), long, codes[taken], np.concatenate([[0], np.cumsum(size)])
 
 
-LINES = "text_key long, doc_id long, line int, leaf long, whole long, codes binary"
+LINES = "text_key long, doc_id long, line int, leaf long, whole long, long boolean, codes binary"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -81,20 +93,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, number, leaf, whole, codes, at = parse_lines(batch.column("text"))
-            codes = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(codes.tobytes())])
+            row, number, leaf, whole, long, codes, at = parse_lines(batch.column("text"))
+            codes = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(2 * at.astype(np.int64)), pa.py_buffer(codes.tobytes())])
             at_row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("text_key").take(at_row), batch.column("doc_id").take(at_row), pa.array(number.astype(np.int32)),
-                 pa.array(leaf), pa.array(whole), codes.cast(pa.binary())],
-                names=["text_key", "doc_id", "line", "leaf", "whole", "codes"])
+                 pa.array(leaf), pa.array(whole), pa.array(long), codes.cast(pa.binary())],
+                names=["text_key", "doc_id", "line", "leaf", "whole", "long", "codes"])
 
     return docs.mapInArrow(run, LINES)
 
 
-@pandas_udf(DoubleType())
-def agreement(codes: pd.Series, profile: pd.Series) -> pd.Series:
-    return pd.Series([float(np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8))) for a, b in zip(codes, profile, strict=True)])
+@pandas_udf(BooleanType())
+def agrees(codes: pd.Series, profile: pd.Series, similarity: pd.Series) -> pd.Series:
+    def one(a, b, least):
+        equal = (np.frombuffer(a, ">u2") == np.frombuffer(b, ">u2"))[DEPTH:]
+        return bool(len(equal) and equal.sum() >= max(2, least * len(equal)))
+
+    return pd.Series([one(a, b, x) for a, b, x in zip(codes, profile, similarity, strict=True)])
 
 
 @pandas_udf(StringType())
@@ -108,37 +124,63 @@ def without_lines(texts: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series([clean(t, d) for t, d in zip(texts, dropped, strict=True)], dtype=object)
 
 
-def _profiles(lines: DataFrame, min_texts: int) -> DataFrame:
-    """``l profile``: the most frequent token of each place, for the leaves that enough texts reach."""
-    reached = lines.select("leaf", "text_key").distinct().groupBy(F.col("leaf").alias("l")).count().where(F.col("count") >= min_texts)
-    leaves = materialise(reached.select("l"), "line-leaves")
-    # copies of a line collapse before the leaf's rows come together (a semi join would be moved below the aggregate)
-    distinct = lines.groupBy("leaf", "whole", "codes").count().join(by_shuffle(leaves), F.col("leaf") == F.col("l"))
-    places = distinct.select("leaf", "count", F.posexplode(F.split(F.hex("codes"), "(?<=\\G..)")).alias("place", "code")).where("code <> ''")
-    votes = places.groupBy("leaf", "place", "code").agg(F.sum("count").alias("n"))
+def _profiles(distinct: DataFrame) -> DataFrame:
+    """``l profile``: the most frequent token of each place, for each leaf of ``leaf codes n``."""
+    places = distinct.select("leaf", "n", F.posexplode(F.split(F.hex("codes"), "(?<=\\G....)")).alias("place", "code")).where("code <> ''")
+    votes = places.groupBy("leaf", "place", "code").agg(F.sum("n").alias("n"))
     best = votes.groupBy("leaf", "place").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
     ordered = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("x"))
     text = F.array_join(F.transform("x", lambda s: s["code"]), "")
     return ordered.select(F.col("leaf").alias("l"), F.unhex(text).alias("profile"))
 
 
+def _in_reach(distinct: DataFrame, min_texts: int) -> DataFrame:
+    """The lines ``leaf whole n ...`` of leaves whose lines are held by enough texts."""
+    reached = distinct.groupBy(F.col("leaf").alias("l")).agg(F.sum("n").alias("t")).where(F.col("t") >= min_texts).select("l")
+    return distinct.join(by_shuffle(reached), F.col("leaf") == F.col("l"), "left_semi")
+
+
+def templates_of(lines: DataFrame, min_texts: int, similarity: float) -> DataFrame:
+    """``w template`` of the distinct lines that belong to a template of several lines.
+
+    Each turn takes one template from every leaf; a leaf whose last one did not recur is done.
+    """
+    held = lines.where("leaf <> 0").select("leaf", "whole", "text_key").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("n"))
+    reached = materialise(_in_reach(held, min_texts), "line-reached")
+    codes = lines.join(by_shuffle(reached.select(F.col("leaf").alias("l")).distinct()), F.col("leaf") == F.col("l"), "left_semi")
+    codes = codes.groupBy(F.col("whole").alias("w")).agg(F.first("codes").alias("codes"))
+    left = materialise(reached.join(by_shuffle(codes), F.col("whole") == F.col("w")).drop("w"), "line-left")
+    found = left.select(F.col("whole").alias("w"), F.lit(0).cast("long").alias("template")).where("false")
+    turn = 0
+    while not left.isEmpty():
+        profiles = _profiles(left)
+        marked = left.join(by_shuffle(profiles), F.col("leaf") == F.col("l")).withColumn("joins", agrees("codes", "profile", F.lit(similarity)))
+        marked = materialise(marked.drop("l", "profile"), "line-marked")
+        recurring = marked.where("joins").groupBy(F.col("leaf").alias("l")).agg(F.sum("n").alias("t")).where(F.col("t") >= min_texts).select("l")
+        there = materialise(marked.join(by_shuffle(recurring), F.col("leaf") == F.col("l"), "left_semi"), "line-groups")
+        found = found.unionByName(there.where("joins").select(F.col("whole").alias("w"), F.xxhash64("leaf", F.lit(turn)).alias("template")))
+        left = materialise(_in_reach(there.where("NOT joins").drop("joins"), min_texts), "line-left")
+        turn += 1
+    return found
+
+
+def _surplus(rows: DataFrame, name: str) -> DataFrame:
+    """``text_key line`` of what goes: all but the home copies of what ``least`` texts hold."""
+    texts = rows.groupBy(name, "text_key").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"))
+    home = F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    recurring = texts.groupBy(F.col(name).alias("t")).agg(F.count("*").alias("n"), home.alias("home"), F.min("least").alias("least"))
+    # written first: the join below then has two plain shuffles, and the rows of a frequent template can be split
+    recurring = materialise(recurring.where(F.col("n") >= F.col("least")).select("t", "home"), "line-recurring")
+    return rows.join(by_shuffle(recurring), F.col(name) == F.col("t")).where("text_key <> home").select("text_key", "line")
+
+
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
     """``text_key dropped``: the line numbers that go from each text, for ``text_key doc_id text``."""
     lines = materialise(lines_of(docs), "lines")
-    profiles = materialise(_profiles(lines, min_texts), "line-profiles")
-    agrees = agreement(F.col("codes"), F.col("profile")) >= similarity
-    profiled = lines.join(by_shuffle(profiles), F.col("leaf") == F.col("l")).select(
-        "text_key", "doc_id", "line", F.when(agrees, F.col("leaf")).otherwise(F.col("whole")).alias("template"))
-    alone = lines.join(by_shuffle(profiles), F.col("leaf") == F.col("l"), "left_anti").select(
-        "text_key", "doc_id", "line", F.col("whole").alias("template"))
-    placed = materialise(profiled.unionByName(alone), "line-templates")
-    texts = placed.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"))
-    recurring = texts.groupBy(F.col("template").alias("t")).agg(
-        F.count("*").alias("n"), F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("home")
-    ).where(F.col("n") >= min_texts).select("t", "home")
-    # written first: the join below then has two plain shuffles, and the rows of a frequent template can be split
-    recurring = materialise(recurring, "line-recurring")
-    gone = placed.join(by_shuffle(recurring), F.col("template") == F.col("t")).where("text_key <> home")
+    found = materialise(templates_of(lines, min_texts, similarity), "line-found")
+    own = lines.select("text_key", "doc_id", "line", "whole", F.when(F.col("long"), F.least(F.lit(2), F.lit(min_texts))).otherwise(min_texts).alias("least"))
+    shared = own.join(by_shuffle(found), F.col("whole") == F.col("w")).withColumn("least", F.lit(min_texts)).select("text_key", "doc_id", "line", "template", "least")
+    gone = _surplus(own, "whole").unionByName(_surplus(materialise(shared, "line-templates"), "template"))
     return gone.groupBy("text_key").agg(F.collect_set("line").alias("dropped"))
 
 
