@@ -147,8 +147,8 @@ def templates_of(lines: DataFrame, min_texts: int, similarity: float) -> DataFra
     """
     held = lines.where("leaf <> 0").select("leaf", "whole", "text_key").distinct().groupBy("leaf", "whole").agg(F.count("*").alias("n"))
     reached = materialise(_in_reach(held, min_texts), "line-reached")
-    codes = lines.join(by_shuffle(reached.select(F.col("leaf").alias("l")).distinct()), F.col("leaf") == F.col("l"), "left_semi")
-    codes = codes.groupBy(F.col("whole").alias("w")).agg(F.first("codes").alias("codes"))
+    # copies of a line collapse before the lines of a leaf come together
+    codes = lines.where("leaf <> 0").groupBy(F.col("whole").alias("w")).agg(F.first("codes").alias("codes"))
     left = materialise(reached.join(by_shuffle(codes), F.col("whole") == F.col("w")).drop("w"), "line-left")
     found = left.select(F.col("whole").alias("w"), F.lit(0).cast("long").alias("template")).where("false")
     turn = 0

@@ -76,9 +76,9 @@ def test_run_over_the_whole_table(spark, sf):
 def test_entry_has_every_numbered_query():
     names = set(entry_point.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if re.match(rf"op{n}_", q)]) == 1
-    assert {"op1_host_quality_rules", "op3_pareto_mix", "op10_warc_archive"} <= set(entry_point.oracle_sql())
+    assert {"op1_host_quality_rules", "op3_pareto_mix", "op10_warc_archive", "op11_merkle_manifest", "op13_metric_tree_search"} <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("module", ["corpus_pipeline", "baitlens.llm"])
