@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions.regex import SPACE, WORD
 from ..session import broadcast_if_small, materialise
@@ -14,36 +16,32 @@ from ..session import broadcast_if_small, materialise
 NARROW_ROW_LIMIT = 1_000_000  # rows of a short term and two numbers
 
 
-@cache
-def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """From the Unicode decompositions: one-to-one replacements, deletions, and Latin one-to-many ones."""
-    source, target, many, dropped = [], [], [], []
-    for code in range(0x80, 0x10000):
-        ch = chr(code)
-        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
-            continue
-        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if plain == ch:
-            continue
-        if len(plain) == 1:
-            source.append(ch)
-            target.append(plain)
-        elif not plain:
-            dropped.append(ch)
-        elif code < 0x250 or 0xFB00 <= code <= 0xFB06:
-            many.append((ch, plain))
-    return "".join(source + dropped), "".join(target), tuple(many)
+class _Plain(dict):
+    """Code point to its compatibility decomposition without combining marks, made when first met."""
+
+    def __missing__(self, code: int) -> str:
+        # marks are dropped, so their canonical order doesn't matter and characters can be decomposed one by one
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        self[code] = plain
+        return plain
+
+
+_PLAIN = _Plain()
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+@pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t.translate(_PLAIN), na_action="ignore")
 
 
 def strip_accents(col: Column) -> Column:
-    """Compatibility-decompose and drop combining marks (basic plane; ligatures of the Latin blocks)."""
-    source, target, many = _accent_tables()
-    out = F.translate(col, source, target)
-    multi = "[" + "".join(ch for ch, _ in many) + "]"
-    spelled = out
-    for ch, plain in many:
-        spelled = F.replace(spelled, F.lit(ch), F.lit(plain))
-    return F.when(out.rlike(multi), spelled).otherwise(out)
+    """Compatibility-decompose and drop combining marks: every code point as the standard form has it.
+
+    Only texts with a character beyond ASCII leave the JVM.
+    """
+    foreign = col.rlike(NOT_ASCII)
+    return F.when(foreign, _decomposed(F.when(foreign, col))).otherwise(col)
 
 
 def _bind(value: Column, use) -> Column:

@@ -73,6 +73,28 @@ def test_vectorizer_equals_long_form(spark):
 
 def test_strip_accents(one):
     assert one("Éçœñ ﬁn Ǆ", strip_accents(F.col("v"))) == "Ecœn fin DZ"
+    assert one(None, strip_accents(F.col("v"))) is None and one("plain", strip_accents(F.col("v"))) == "plain"
+
+
+def test_strip_accents_equals_the_standard_form_everywhere(spark):
+    """Every assigned code point of every plane, alone and between letters: Hangul, ligatures, numerals, kanji, presentation forms."""
+    import unicodedata
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["x".join(map(chr, points[i:i + 2000])) for i in range(0, len(points), 2000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r["p"] for r in frame.select(F.col("v"), strip_accents(F.col("v")).alias("p")).collect()]
+
+    def standard(t):
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+
+    assert got == [standard(t) for t in texts] and one_by_one("각ﷺⅧ㌀") == standard("각ﷺⅧ㌀")
+
+
+def one_by_one(text):
+    from baitlens.operators.tfidf import _PLAIN
+
+    return text.translate(_PLAIN)
 
 
 def mails(spark, n=160):
