@@ -9,7 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..functions.specs import apply_specs
-from ..functions.url import host_domain
+from ..functions.url import host_domain, registered_domains
 from ..operators.dedup import content_hash, distinct_rows, first_per_key, union_by_name
 from ..operators.schema import (
     align_numeric, apply_names, basic_numeric_block, common_columns, drop_unnamed, first_of_duplicate_columns,
@@ -378,6 +378,36 @@ def group_keys(spark: SparkSession, sf: str) -> DataFrame:
         F.lower("modality").alias("stratum")))
 
 
+# a suffix list as long as the table: the last label of every host, and rules of each kind for two labels by their digest
+SUFFIX_KINDS = [("", "0123456789"), ("*.", "789abc"), ("!", "de")]
+
+
+@query("registered_domain_keys", f"""
+WITH h AS (SELECT page_id, lower(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), ':.*$', ''), '')) AS host FROM pages),
+hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM h WHERE host IS NOT NULL),
+two AS (SELECT DISTINCT array_to_string(labels[-2:], '.') AS t, substr(md5(array_to_string(labels[-2:], '.')), 1, 1) AS d FROM hosts WHERE len(labels) > 1),
+rules AS (SELECT DISTINCT labels[-1] AS rule FROM hosts
+  {" ".join(f"UNION SELECT '{mark}' || t FROM two WHERE contains('{digits}', d)" for mark, digits in SUFFIX_KINDS)}),
+tails AS (SELECT host, labels, i, array_to_string(labels[i:], '.') AS tail FROM (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS i FROM hosts)),
+m AS (SELECT host, any_value(labels) AS labels, coalesce(min(CASE WHEN rule = '!' || tail THEN i + 1 END),
+    min(CASE WHEN rule = tail THEN i WHEN rule = '*.' || tail AND i > 1 THEN i - 1 END)) AS first
+  FROM tails JOIN rules ON rule IN (tail, '*.' || tail, '!' || tail) GROUP BY host)
+SELECT CAST(page_id AS BIGINT) AS page_id, h.host, CASE WHEN first > 1 THEN array_to_string(labels[first - 1:], '.') ELSE h.host END AS registered_domain,
+  'url:' || coalesce(CASE WHEN first > 1 THEN array_to_string(labels[first - 1:], '.') ELSE h.host END, 'no-domain') AS group_key
+FROM h LEFT JOIN m ON m.host = h.host""")
+def registered_domain_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Group keys of the pages by their registered domain."""
+    pages = read_table(spark, sf, "pages").select("page_id", F.lower(host_domain(F.col("url"))).alias("host"))
+    labels = F.split("host", r"\.")
+    hosts = pages.where("host IS NOT NULL").select("host").distinct()
+    two = hosts.where(F.size(labels) > 1).select(F.array_join(F.slice(labels, -2, 2), ".").alias("t")).distinct()
+    rules = hosts.select(F.element_at(labels, -1).alias("suffix"))
+    for mark, digits in SUFFIX_KINDS:
+        rules = rules.union(two.where(F.contains(F.lit(digits), F.substring(F.md5("t"), 1, 1))).select(F.concat(F.lit(mark), "t")))
+    keyed = registered_domains(pages, "host", rules)
+    return finish(keyed.withColumn("group_key", tx.group_key(F.lit("URL"), F.col("registered_domain"))))
+
+
 @query("row_hashes", f"""
 SELECT CAST(doc_id AS BIGINT) AS doc_id, sha1(text) AS sha, md5(substr({norm_sql('lower(text)')}, 1, 256)) AS fingerprint_start,
   md5({norm_sql('lower(text)')}) AS fingerprint,

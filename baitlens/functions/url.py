@@ -67,29 +67,26 @@ def audit_domain(url: Column) -> Column:
 def registered_domains(df: DataFrame, host: str, suffixes: DataFrame, output: str = "registered_domain") -> DataFrame:
     """Registered domain of a host: one label more than its longest listed suffix, else the host itself.
 
-    ``suffixes`` has one column ``suffix``. Distinct hosts are matched, so a hot host is looked up once.
+    ``suffixes`` has one column ``suffix``: plain suffixes, ``*.x`` (any one label before x) and exceptions ``!y.x`` (which win,
+    and make x the suffix). Distinct hosts are matched by an equi-join of their tails with the rules, whatever the length of the
+    list; a hot host is looked up once.
     """
-    labels = F.split("_host", r"\.")
+    rule = F.lower("suffix")
+    kind = F.when(rule.startswith("!"), "exception").when(rule.startswith("*."), "any").otherwise("plain")
+    rules = suffixes.select(kind.alias("_kind"), F.regexp_replace(rule, r"^(?:!|\*\.)", "").alias("_suffix")).distinct()
     tails = F.transform(
         F.sequence(F.lit(1), F.size("_labels")),
-        lambda i: F.struct(
-            i.alias("start"),
-            F.array_join(F.slice("_labels", i, F.size("_labels")), ".").alias("tail"),
-        ),
-    )
-    hosts = df.select(F.col(host).alias("_host")).where(F.col("_host").isNotNull()).distinct()
-    matched = (
-        hosts.withColumn("_labels", labels)
-        .withColumn("_tail", F.explode(tails))
-        .join(suffixes.select(F.lower("suffix").alias("_suffix")).distinct(),
-              F.lower(F.col("_tail.tail")) == F.col("_suffix"), "left_semi")
-        .groupBy("_host").agg(F.min("_tail.start").alias("_start"), F.first("_labels").alias("_labels"))
-        .select(
-            "_host",
-            F.when(F.col("_start") > 1,
-                   F.array_join(F.slice("_labels", F.col("_start") - 1, F.size("_labels")), ".")).alias("_found"),
-        )
+        lambda i: F.struct(i.alias("start"), F.lower(F.array_join(F.slice("_labels", i, F.size("_labels")), ".")).alias("tail")),
     )
+    hosts = df.select(F.col(host).alias("_host")).where(F.col("_host").isNotNull()).distinct().withColumn("_labels", F.split("_host", r"\."))
+    found = hosts.select("_host", F.explode(tails).alias("_tail")).join(rules, F.col("_tail.tail") == F.col("_suffix"))
+    at = F.col("_tail.start")
+    start = F.when(F.col("_kind") == "plain", at).when((F.col("_kind") == "any") & (at > 1), at - 1)
+    matched = found.groupBy("_host").agg(
+        F.min(F.when(F.col("_kind") == "exception", at + 1)).alias("_exception"), F.min(start).alias("_start"))
+    labels = F.split("_host", r"\.")
+    first = F.coalesce("_exception", "_start")
+    matched = matched.select("_host", F.when(first > 1, F.array_join(F.slice(labels, first - 1, F.size(labels)), ".")).alias("_found"))
     joined = df.join(matched, df[host] == matched["_host"], "left").drop("_host")
     return joined.withColumn(output, F.coalesce("_found", F.col(host))).drop("_found")
 

@@ -101,6 +101,27 @@ def test_host_domain(one, url, domain):
     assert one(url, host_domain(V)) == domain
 
 
+def test_registered_domains_with_a_long_list(spark):
+    """A hundred thousand rules of each kind of meaning, against a plain walk over the labels."""
+    rules = {f"s{i}.zz" for i in range(99_000)} | {"zz", "com", "co.uk", "uk"} | {f"*.w{i}" for i in range(900)} | {f"!keep.w{i}" for i in range(0, 900, 3)}
+    hosts = [f"a.b.s{i}.zz" for i in range(0, 300, 7)] + [f"x.{n}.w{i}" for i in range(40) for n in ("keep", "other")] + [
+        "w7", "a.w7", "keep.w9", "x.co.uk", "co.uk", "uk", "Www.Shop.COM", "none.here", "zz", "a.s99999.zz"]
+
+    def plain(host):
+        labels, best = host.split("."), None
+        for i in range(len(labels)):
+            tail = ".".join(labels[i:]).lower()
+            if "!" + tail in rules:
+                return ".".join(labels[i:])
+            if best is None and (tail in rules or i + 1 < len(labels) and "*." + ".".join(labels[i + 1:]).lower() in rules):
+                best = i
+        return ".".join(labels[best - 1:]) if best else host
+
+    frame = spark.createDataFrame([(h,) for h in [*hosts, None]], "host string")
+    got = {r["host"]: r["registered_domain"] for r in registered_domains(frame, "host", spark.createDataFrame([(r,) for r in rules], "suffix string")).collect()}
+    assert got == {h: plain(h) for h in hosts} | {None: None}
+
+
 def test_registered_domains(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("com",), ("plain",), (None,)], "host string")
     suffixes = spark.createDataFrame([("co.uk",), ("uk",), ("com",)], "suffix string")
