@@ -199,14 +199,14 @@ def tester_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "pages").select(
-        "page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("email_subject"),
+        "page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("email_subject"), F.col("html").alias("email_body"),
         split_column("page_id").alias("split"))
 
 
 SPLIT_PAGES_SQL = f"""
 pg AS (
   SELECT page_id, trim(url) AS url_canon, regexp_extract(trim(url), '^(?:https?://)?([^/]+)', 1) AS domain,
-         regexp_extract(html, '<title>([^<]*)', 1) || ' ' AS txt, {split_sql('page_id')} AS split
+         regexp_extract(html, '<title>([^<]*)', 1) || ' ' || html AS txt, {split_sql('page_id')} AS split
   FROM pages)"""
 
 
