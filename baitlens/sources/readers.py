@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -23,6 +26,25 @@ CORPUS_NAME = "smsspamcollection"
 EXTENSIONS = ("csv", "tsv", "jsonl", "json", "parquet")
 FALLBACK_ENCODING = "ISO-8859-1"
 _SURPLUS = "_surplus"
+#: Error conditions that mean a source's content cannot be read; every other error stops the job.
+MISSING = "PATH_NOT_FOUND"
+UNREADABLE = (MISSING, "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "MALFORMED_RECORD_IN_PARSING")
+
+
+class NoReader(ValueError):
+    """A file whose name no reader takes."""
+
+
+def unreadable(error: Exception) -> str | None:
+    """The condition of an error that only says that content is missing or broken, else None."""
+    if isinstance(error, NoReader):
+        return "NO_READER"
+    if isinstance(error, PySparkException):
+        named = [error.getCondition() or ""]
+    else:
+        # an error inside a task arrives as the JVM's; conditions stand in brackets before its message and those of its causes
+        named = re.findall(r"\[([A-Z_]+(?:\.[A-Z_]+)?)\]", str(error)) if isinstance(error, Py4JJavaError) else []
+    return next((c for c in named if c.split(".")[0] in UNREADABLE), None)
 
 
 def text_encoding(spark: SparkSession, path: str | Sequence[str]) -> str:
@@ -94,7 +116,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     for suffix, reader in readers.items():
         if plain.endswith(suffix):
             return reader(spark, path)
-    raise ValueError(f"no reader for {path}")
+    raise NoReader(f"no reader for {path}")
 
 
 def discover(spark: SparkSession, roots: Sequence[str], override: str | None = None) -> list[str]:
@@ -110,7 +132,9 @@ def discover(spark: SparkSession, roots: Sequence[str], override: str | None = N
                     spark.read.format("binaryFile").option("recursiveFileLookup", True)
                     .option("pathGlobFilter", glob).load(root).select("path").orderBy("path").collect()
                 )
-            except Exception:  # a missing root is not an error
+            except AnalysisException as error:
+                if error.getCondition() != MISSING:  # a missing root is not an error
+                    raise
                 continue
             found.update(dict.fromkeys(r["path"] for r in files))
     return list(found)
@@ -124,7 +148,11 @@ class Ingested:
 
 
 def ingest(spark: SparkSession, paths: Sequence[str]) -> Ingested:
-    """Read each source, bring its columns to the canonical names, and union them; a failing source is skipped."""
+    """Read each source, bring its columns to the canonical names, and union them.
+
+    A source whose content cannot be read is skipped and named with the error's condition; any other error is raised, so that
+    a lost executor or a full disk never looks like a broken file.
+    """
     frames, used, skipped = [], [], {}
     for path in dict.fromkeys(paths):
         try:
@@ -135,8 +163,11 @@ def ingest(spark: SparkSession, paths: Sequence[str]) -> Ingested:
             frame.limit(1).collect()
             frames.append(frame)
             used.append(path)
-        except Exception as error:  # noqa: BLE001 - any unreadable source is reported, not fatal
-            skipped[path] = type(error).__name__
+        except Exception as error:
+            reason = unreadable(error)
+            if reason is None:
+                raise
+            skipped[path] = reason
     if not frames:
         return Ingested(None, used, skipped)
     return Ingested(union_by_name(*_same_types(frames)), used, skipped)

@@ -150,3 +150,21 @@ def test_ingest_job_keeps_the_first_source_and_stores_splits(spark, tmp_path):
     assert all(r["timestamp"] is not None and r["split"] in ("train", "val", "test") for r in rows.values())
     nothing = spark.createDataFrame([], "label int, text string, url string, timestamp timestamp_ntz, source_place long")
     assert prepared_rows(nothing).count() == 0
+
+
+def test_only_unreadable_content_is_skipped(spark, tmp_path, monkeypatch):
+    (tmp_path / "good.csv").write_text("label,text\n1,hello\n")
+    (tmp_path / "broken.parquet").write_bytes(b"this is no parquet file")
+    (tmp_path / "odd.xyz").write_text("x")
+    paths = [str(tmp_path / n) for n in ("good.csv", "broken.parquet", "odd.xyz", "gone.csv")]
+    found = rd.ingest(spark, paths)
+    assert found.used == paths[:1] and found.table.count() == 1
+    assert found.skipped[paths[2]] == "NO_READER" and found.skipped[paths[3]] == "PATH_NOT_FOUND"
+    assert found.skipped[paths[1]].split(".")[0] in rd.UNREADABLE
+
+    def fails(*_):
+        raise RuntimeError("an executor was lost")
+
+    monkeypatch.setattr(rd, "read_any", fails)
+    with pytest.raises(RuntimeError):
+        rd.ingest(spark, paths[:1])
