@@ -10,9 +10,10 @@ words taken are as near to the rest as a whole document allows. So the sample ha
 Only a threshold per source leaves the ranking, and joins the documents: no text is shuffled, and a source that holds
 most rows is ranked in many range partitions.
 
-Defined results: a null text has size 0 and is never a reason to draw; null sources are one source; equal ranks (repeated
-rows) are drawn together; a source without words has target 0; an empty table gives an empty result; other columns are
-left alone.
+Defined results: a null text has size 0 and is never a reason to draw; null sources are one source; rows of equal rank and
+size (equal or null ids) are one step of the ranking, and where the drawing ends inside a step, as many of its rows are
+drawn as come nearest to the target, in the order of their texts (rows equal in id and text stand for each other); a source
+without words has target 0; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -71,9 +72,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_p
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """``source source_size target whole factor last``: certain copies, and the last rank that is drawn (null: none).
+    """``source source_size target whole factor last divided some``: certain copies, and the last rank drawn (null: none).
 
-    ``sizes`` has ``source size doc_id``. Documents with equal ranks are one step of the ranking.
+    ``sizes`` has ``source size doc_id``. Documents of equal rank and size are one step of the ranking, ``last`` and ``divided``
+    are steps (rank and size); of the step ``divided`` (null: none) only ``some`` documents are drawn.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
@@ -82,13 +84,19 @@ def thresholds(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFr
     plan = materialise(plan, "mix-plan")
     drawn = broadcast_if_small(plan.where("rest > 0").select(F.col("source").alias("s"), "factor", "rest"))
     ranked = sizes.where("size > 0").join(drawn, same(F.col("source"), F.col("s")))
-    steps = ranked.groupBy("source", rank_value(F.col("doc_id"), F.col("size"), F.col("factor"), seed).alias("q")).agg(
-        F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    summed = with_running_sums(steps, ["q"], {"so_far": "words"}, group_by=["source"])
-    near = F.col("so_far") + (F.col("so_far") - F.col("words")) <= 2 * F.col("rest")
-    last = summed.where(near).groupBy(F.col("source").alias("s")).agg(F.max("q").alias("last"))
+    steps = ranked.groupBy("source", rank_value(F.col("doc_id"), F.col("size"), F.col("factor"), seed).alias("q"), "size").agg(
+        F.sum("size").alias("words"), F.count("*").alias("n"), F.first("rest").alias("rest"))
+    summed = with_running_sums(steps, ["q", "size"], {"so_far": "words"}, group_by=["source"])
+    before = F.col("so_far") - F.col("words")
+    some = F.floor((F.col("rest") - before) * F.col("n") / F.col("words") + F.lit(0.5)).cast("long")
+    divided = (before < F.col("rest")) & (F.col("so_far") > F.col("rest")) & (some > 0) & (some < F.col("n"))
+    near = F.col("so_far") + before <= 2 * F.col("rest")
+    step = F.struct("q", "size")
+    last = summed.groupBy(F.col("source").alias("s")).agg(
+        F.max(F.when(near & ~divided, step)).alias("last"), F.max(F.when(divided, step)).alias("divided"),
+        F.max(F.when(divided, some)).alias("some"))
     return plan.join(last, same(F.col("source"), F.col("s")), "left").select(
-        "source", "source_size", "target", "whole", "factor", "last")
+        "source", "source_size", "target", "whole", "factor", "last", "divided", "some")
 
 
 def rank_value(doc_id: Column, size: Column, factor: Column, seed: str) -> Column:
@@ -96,10 +104,20 @@ def rank_value(doc_id: Column, size: Column, factor: Column, seed: str) -> Colum
     return F.when(p >= 1, F.lit(0.0)).otherwise(odds(doc_id, seed) * ((1 - p) / p))
 
 
-def _copies(size: Column, doc_id: Column, seed: str) -> Column:
-    drawn = (size > 0) & (F.col("_last").isNotNull()) & (
-        rank_value(doc_id, size, F.col("_factor"), seed) <= F.col("_last"))
-    return F.col("_whole") + F.when(drawn, 1).otherwise(0)
+def _with_copies(joined: DataFrame, plan: DataFrame, source: str, size: Column, doc_id: str, seed: str,
+                 order: list[Column]) -> DataFrame:
+    """``_copies`` of every row of a frame joined with its plan; ``order`` decides between rows of a divided step."""
+    step = F.struct(rank_value(F.col(doc_id), size, F.col("_factor"), seed).alias("q"), size.alias("size"))
+    drawn = (size > 0) & F.col("_last").isNotNull() & (step <= F.col("_last"))
+    counted = joined.withColumn("_copies", F.col("_whole") + F.when(drawn, 1).otherwise(0))
+    if plan.where("divided IS NOT NULL").isEmpty():
+        return counted
+    tied = F.coalesce((size > 0) & F.col("_divided").isNotNull() & (step == F.col("_divided")), F.lit(False))
+    # the row's own number comes last, so that any number of equal rows is spread over the range partitions
+    rows = joined.where(tied).withColumns({"_one": F.lit(1), "_row": F.monotonically_increasing_id()})
+    placed = with_running_sums(rows, [*order, "_row"], {"_nth": "_one"}, group_by=[source])
+    some = placed.withColumn("_copies", F.col("_whole") + F.when(F.col("_nth") <= F.col("_some"), 1).otherwise(0))
+    return counted.where(~tied).unionByName(some.select(counted.columns))
 
 
 def plan_mix(docs: DataFrame, text: str, source: str, doc_id: str, seed: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -119,10 +137,11 @@ def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_
                seed: str = SEED, **options) -> DataFrame:
     """``doc_id size source_size target taken`` of every document."""
     sizes, plan = plan_mix(docs, text, source, doc_id, seed, **options)
-    taken = _copies(F.col("size"), F.col("doc_id"), seed) * F.col("size")
-    return _join_plan(sizes, "source", plan).select(
+    counted = _with_copies(_join_plan(sizes, "source", plan), plan, "source", F.col("size"), "doc_id", seed,
+                           [F.col("doc_id")])
+    return counted.select(
         "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        taken.cast("long").alias("taken"))
+        (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
@@ -130,9 +149,11 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", d
     """The mix itself: every row as often as it is taken, with its own columns."""
     _, plan = plan_mix(docs, text, source, doc_id, seed, **options)
     frame, names = sealed(docs)
-    copies = _copies(word_count(F.col(names[text])), F.col(names[doc_id]), seed)
-    taken = _join_plan(frame, names[source], plan).withColumn("copies", copies).where("copies > 0")
-    return taken.select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    content = F.col(names[text])
+    counted = _with_copies(_join_plan(frame, names[source], plan), plan, names[source], word_count(content), names[doc_id], seed,
+                           [F.col(names[doc_id]), F.xxhash64(content), F.xxhash64(F.lit(seed), content)])
+    taken = counted.where("_copies > 0")
+    return taken.select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
         *[F.col(n).alias(c) for c, n in names.items()])
 
 
@@ -169,15 +190,22 @@ mix_odds AS (
 mix_ranked AS (
   SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END AS q FROM mix_odds),
 mix_steps AS (
-  SELECT source, q, first(rest) AS rest, sum(size) AS words FROM mix_ranked
-  WHERE size > 0 AND rest > 0 GROUP BY source, q),
+  SELECT source, q, size, first(rest) AS rest, CAST(sum(size) AS BIGINT) AS words, count(*) AS n FROM mix_ranked
+  WHERE size > 0 AND rest > 0 GROUP BY source, q, size),
+mix_sums AS (
+  SELECT *, CAST(sum(words) OVER (PARTITION BY source ORDER BY q, size) AS BIGINT) AS so_far FROM mix_steps),
+mix_divided AS (
+  SELECT *, so_far - words < rest AND so_far > rest AND few > 0 AND few < n AS divided FROM (
+    SELECT *, CAST(floor((rest - (so_far - words)) * n / words + 0.5::DOUBLE) AS BIGINT) AS few FROM mix_sums)),
 mix_last AS (
-  SELECT source, max(q) AS last FROM (
-    SELECT *, sum(words) OVER (PARTITION BY source ORDER BY q) AS so_far FROM mix_steps)
-  WHERE so_far + (so_far - words) <= 2 * rest GROUP BY source),
+  SELECT source, max(so_far) FILTER (WHERE so_far + (so_far - words) <= 2 * rest AND NOT divided) AS last,
+         max(so_far) FILTER (WHERE divided) AS divided, max(few) FILTER (WHERE divided) AS few
+  FROM mix_divided GROUP BY source),
 mix_taken AS (
-  SELECT r.*, r.whole + CASE WHEN size > 0 AND l.last IS NOT NULL AND q <= l.last THEN 1 ELSE 0 END AS copies
-  FROM mix_ranked r LEFT JOIN mix_last l ON r.source IS NOT DISTINCT FROM l.source)"""
+  SELECT r.*, r.whole + CASE WHEN so_far <= l.last OR so_far = l.divided AND nth <= l.few THEN 1 ELSE 0 END AS copies
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, q, size ORDER BY doc_id) AS nth FROM mix_ranked) r
+  LEFT JOIN mix_sums s ON r.source IS NOT DISTINCT FROM s.source AND r.q = s.q AND r.size = s.size
+  LEFT JOIN mix_last l ON r.source IS NOT DISTINCT FROM l.source)"""
 
 ORACLE = "WITH " + ORACLE_CORE.format(docs="documents") + """
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mix_taken"""

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import duckdb
 from check_queries import compare, connect
 
 from baitlens.llm import source_mix as m
@@ -56,6 +57,33 @@ def test_near_target_without_repeated_rows(spark):
         assert abs(words - target) <= 37 / 2 + 1
 
 
+def test_equal_ranks_are_divided(spark):
+    """Repeated, null and single ids alike come within half a document of the target, and reruns agree."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    rows = [(7, f"w{i} " + "w " * 9, "en", "a", 1) for i in range(100)]
+    rows += [(None, "v " * 10 + ("" if i % 2 else "v"), "en", "b", 1) for i in range(333)]
+    rows += [(i, "u " * 10, "en", "c", 1) for i in range(100)] + [(5, "same " * 10, "en", None, 1)] * 250
+    frame = spark.createDataFrame(rows, schema)
+    report = m.mix_report(frame).collect()
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in report)
+    mixed = m.mix_documents(frame)
+    first = sorted(map(str, mixed.collect()))
+    assert first == sorted(map(str, m.mix_documents(frame.repartition(7)).collect()))
+    words = defaultdict(int)
+    for r in mixed.collect():
+        words[r["source"]] += len(r["text"].split())
+    sizes = {"a": 1000, "b": sum(len(r[1].split()) for r in rows if r[3] == "b"), "c": 1000, None: 2500}
+    want = levels(sizes)
+    assert any(t % sizes[s] for s, t in want.items())
+    for source, t in want.items():
+        assert abs(words[source] - t) <= 11 / 2 + 1e-6
+    assert sum(words.values()) == sum(r["taken"] for r in report)
+    db = duckdb.connect()
+    db.register("documents", frame.toArrow())
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(str(tuple(r[n] for n in names)) for r in report) == sorted(map(str, db.sql(f"SELECT {', '.join(names)} FROM ({m.ORACLE})").fetchall()))
+
+
 def test_larger_documents_are_drawn_more_often(spark):
     rows = [(i, "w " * (100 if i % 2 else 4), "en", "a", 1) for i in range(3000)]
     out = m.mix_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).collect()
