@@ -9,6 +9,7 @@ from ..plans.ingest import ingest_to_splits as ingest_job
 from ..session import read_table, scratch_path
 from ..sources import readers as rd
 from ..sources import writers as wr
+from ..sources.delimited import read_blocks
 from .base import finish, query, split_column, split_sql
 
 DOCS = "doc_id string, text string, lang string, source string"
@@ -37,6 +38,17 @@ def io_roundtrip_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return _back(rd.read_any(spark, path))
 
 
+@query("io_csv_blocks", """
+SELECT CAST(page_id AS BIGINT) AS page_id, url, replace(html, '>', '>' || chr(10)) AS html FROM pages""")
+def io_csv_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a line break behind every tag, written as quoted fields and read back in blocks."""
+    path = scratch_path(spark, "pages") + ".csv"
+    pages = read_table(spark, sf, "pages").select("page_id", "url", F.replace("html", F.lit(">"), F.lit(">\n")).alias("html"))
+    pages.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = read_blocks(spark, path)
+    return finish(back.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"))
+
+
 @query("io_roundtrip_corpus", "SELECT CASE WHEN event_type = 'error' THEN 'spam' ELSE 'ham' END AS label, event_type || ' ' || props AS text FROM events")
 def io_roundtrip_corpus(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "corpus") + "/SMSSpamCollection"
