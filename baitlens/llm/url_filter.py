@@ -34,8 +34,8 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Share of all words that a word of :func:`unigrams` has at least.
 MIN_SHARE = 1e-5
 BUCKETS = 1 << 18
-#: Longest word that the segmentation looks for.
-MAX_WORD = 24
+#: Longer words are looked for by their opening of this length, shorter ones as they are.
+OPENING = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,14 +83,18 @@ class Segmenter:
 
     def __post_init__(self):
         total = (sum(self.counts.values()) if self.total is None else self.total) or 1
-        object.__setattr__(self, "score", {w: math.log10(n / total) for w, n in self.counts.items() if len(w) <= MAX_WORD})
+        object.__setattr__(self, "score", {w: math.log10(n / total) for w, n in self.counts.items()})
+        object.__setattr__(self, "longest", max(map(len, self.counts), default=1))
         object.__setattr__(self, "unknown", -math.log10(total) - 1)
 
     def __call__(self, name: str) -> list[str]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            found = max((best[start] + self.score.get(name[start:end], self.unknown * (end - start)), start - end)
-                        for start in range(max(0, end - MAX_WORD), end))
+            found = best[end - 1] + self.score.get(name[end - 1], self.unknown), -1
+            for start in range(max(0, end - self.longest), end - 1):
+                word = name[start:end]
+                if word in self.score:
+                    found = max(found, (best[start] + self.score[word], start - end))
             best.append(found[0])
             back.append(end + found[1])
         words, end = [], len(name)
@@ -172,8 +176,8 @@ def parts_of(hosts: pd.Series) -> pd.Series:
 
 @pandas_udf(ArrayType(StringType()))
 def pieces_of(parts: pd.Series) -> pd.Series:
-    """The distinct substrings of a part that can be words."""
-    return pd.Series([list({p[i:j] for i in range(len(p)) for j in range(i + 1, min(len(p), i + MAX_WORD) + 1)}) for p in parts], dtype=object)
+    """The distinct substrings of a part that can be words or the openings of words."""
+    return pd.Series([list({p[i:j] for i in range(len(p)) for j in range(i + 1, min(len(p), i + OPENING) + 1)}) for p in parts], dtype=object)
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -188,8 +192,10 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     placed = materialise(hosts.select("host", F.posexplode(parts_of("host")).alias("i", "part")), "url-host-parts")
     parts = materialise(placed.select("part").distinct(), "url-parts")
     pieces = parts.select("part", F.explode(pieces_of("part")).alias("piece"))
-    known = pieces.join(by_shuffle(counts), F.col("piece") == F.col("w")).groupBy(F.col("part").alias("p")).agg(
-        F.collect_list(F.struct("w", "n")).alias("known"))
+    # a longer word meets the parts that hold its opening, and stays where the part holds all of it
+    opened = counts.withColumn("opening", F.substring("w", 1, OPENING))
+    known = pieces.join(by_shuffle(opened), F.col("piece") == F.col("opening")).where(F.contains("part", "w")).groupBy(
+        F.col("part").alias("p")).agg(F.collect_list(F.struct("w", "n")).alias("known"))
     found = parts.join(by_shuffle(known), F.col("part") == F.col("p"), "left").select(
         F.col("part").alias("p"), cut("part", F.col("known.w"), F.col("known.n")).alias("words"))
     found = materialise(found, "url-part-words")

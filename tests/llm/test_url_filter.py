@@ -101,6 +101,15 @@ def test_rare_words_cut_hosts(spark):
     assert got[6] == "block" and got[7] == "block"
 
 
+def test_long_words_cut_hosts(spark):
+    """A word of sixty letters is found in a host, another with the same opening is not."""
+    word, other = "quokka" * 10, "quokka" * 5 + "wombat" * 5
+    counts = spark.createDataFrame([(word, 3), (other, 5), ("bank", 90)], "w string, n long")
+    hosts = spark.createDataFrame([(f"bank{word}bank.net",), ("bankquokka.net",)], "host string")
+    got = {r["h"]: r["words"] for r in u.host_words(hosts, counts).collect()}
+    assert got == {f"bank{word}bank.net": ["bank", word, "bank", "net"], "bankquokka.net": ["bank", "quokka", "net"]}
+
+
 def test_empty_and_without_labelled_rows(spark):
     schema = "page_id long, url string, html string"
     assert u.filter_urls(spark.createDataFrame([], schema)).count() == 0
