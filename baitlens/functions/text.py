@@ -56,15 +56,18 @@ def distinct_characters(col: Column) -> Column:
 
 def entropy(col: Column, epsilon: float = 0.0) -> Column:
     """Shannon entropy over characters in bits; ``epsilon`` is added inside the logarithm."""
-    size = F.length(col).cast("double")
     # sorted characters: every run is one distinct character with its count
     runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(col, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    # bound once per row: a lambda evaluates what it takes from outside for every element
+    bound = F.array(F.struct(F.transform(runs, F.length).alias("runs"), F.length(col).cast("double").alias("size")))
 
-    def add(acc: Column, run: Column) -> Column:
-        share = F.length(run) / size
-        return acc - share * F.log2(share + F.lit(epsilon))
+    def of(b: Column) -> Column:
+        def add(acc: Column, run: Column) -> Column:
+            return acc - run / b["size"] * F.log2(run / b["size"] + F.lit(epsilon))
 
-    return F.when(F.length(col) > 0, F.aggregate(runs, F.lit(0.0), add)).otherwise(F.lit(0.0))
+        return F.aggregate(b["runs"], F.lit(0.0), add)
+
+    return F.when(F.length(col) > 0, F.element_at(F.transform(bound, of), 1)).otherwise(F.lit(0.0))
 
 
 def longest_run(col: Column) -> Column:
