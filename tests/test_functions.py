@@ -220,3 +220,25 @@ def test_group_key_and_preview(one):
     assert one("a  B", tx.group_key(F.lit("Email"), F.lit(""), V)) == one("A b", tx.group_key(F.lit("email"), F.lit(None).cast("string"), V))
     assert one("abcdef", tx.preview(V, 3)) == "abc..." and one("abc", tx.preview(V, 3)) == "abc"
     assert one("a" * 300, tx.fingerprint(V, 256)) == one("a" * 256, tx.fingerprint(V)) != one("a" * 300, tx.fingerprint(V))
+
+
+def test_entropy_measures_the_text_once(spark):
+    # the length inside the lambda was found again for every distinct character
+    df = spark.createDataFrame([("aab",)], "v string").repartition(1)
+    plan = df.select(tx.entropy(F.col("v")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(v" in plan.split("aggregate(")[0] and "length(v" not in plan.split("aggregate(")[1]
+
+
+def test_boundaries_before_word_characters(one):
+    from baitlens.functions.regex import BOUNDARY, WORD
+    assert BOUNDARY not in unicode_pattern(r"\b[13][a-z]+\b|\b0x").replace(f"[a-z]+{BOUNDARY}", "")
+    for text in ("http://a", "xhttp://a", "_http://", "é http://", "éhttp://a", "ſhttp://a HTTP://", "", "-http://1http://"):
+        slow = "(?iud)" + BOUNDARY + "https?://"
+        assert one(text, F.regexp_count("v", F.lit(unicode_pattern(r"(?i)\bhttps?://")))) == one(text, F.regexp_count("v", F.lit(slow)))
+    assert unicode_pattern(r"\b[A-Z]?x").count(WORD) == unicode_pattern(r"\bé").count(WORD)
+
+
+def test_entropy_of_odd_texts(one):
+    for text in ("", "a", "aab", "😀a\n\nb", "\x00\x00a"):
+        counts = [text.count(c) / len(text) for c in sorted(set(text))] if text else []
+        assert one(text, tx.entropy(F.col("v"))) == pytest.approx(-sum(p * math.log2(p) for p in counts), abs=1e-12)
