@@ -14,6 +14,8 @@ from ..functions.regex import SPACE, WORD
 from ..session import broadcast_if_small, materialise
 
 NARROW_ROW_LIMIT = 1_000_000  # rows of a short term and two numbers
+#: Bytes of text whose n-grams one task counts and weighs.
+TASK_BYTES = 4 << 20
 
 
 class _Plain(dict):
@@ -82,11 +84,18 @@ def normal_text(col: Column, accents: bool = False) -> Column:
     return strip_accents(lowered) if accents else lowered
 
 
+def _tasks(df: DataFrame, column: str) -> int:
+    size = df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1 + int(size) // TASK_BYTES)
+
+
 def term_counts(df: DataFrame, doc: str, column: str, analyzer: str = "char", low: int = 3, high: int = 5,
                 accents: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Rows ``doc term tf``. Copies of an n-gram inside a document merge before the shuffle."""
+    """Rows ``doc term tf``. Texts are shuffled by their document, into as many tasks as they need; their n-grams are not."""
     grams = char_grams if analyzer == "char" else word_grams
     normal = df.select(doc, *(keep or []), normal_text(F.coalesce(F.col(column), F.lit("")), accents).alias("_t"))
+    # behind the accents: a Python step hides how its rows are spread
+    normal = normal.repartition(_tasks(df, column), doc)
     return (
         normal.select(doc, *(keep or []), F.explode(grams(F.col("_t"), low, high)).alias("term"))
         .groupBy(doc, *(keep or []), "term").agg(F.count("*").alias("tf"))

@@ -150,3 +150,13 @@ def test_queries_train_with_the_default_settings():
     from baitlens.catalog import vectors
 
     assert vectors.CONFIG == TrainingConfig()
+
+
+def test_grams_stay_with_their_document(spark):
+    rows = [(i % 9, "one two three four") for i in range(12)] + [(None, "one two"), (None, None)]
+    long = tfidf(spark.createDataFrame(rows, "row_id int, text string"), "row_id", "text", "word", 1, 2, min_df=1, max_df=1.0)
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    # the texts are shuffled by their document; no n-gram is
+    assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
+    counts = {(r["row_id"], r["term"]): r["tf"] for r in long.collect()}
+    assert counts[0, "one two"] == 2 and counts[None, "one"] == 1 and counts[3, "four"] == 1
