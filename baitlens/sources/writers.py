@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,9 @@ from ..operators.explain import error_rows, group_stats
 from ..operators.profile import Profile
 from .readers import read_csv
 
+#: Bytes of a JSON document, which one task writes and reads.
+FILE_BYTES = 64 << 20
+
 REPORT_SCHEMA = (
     "ts timestamp, psi_mean double, psi_scores map<string,double>, drifted_features array<string>, "
     "feature_drift array<struct<feature:string,z_score:double,new_mean:double,baseline_mean:double>>, "
@@ -114,19 +117,22 @@ def load_artifacts(spark: SparkSession, folder: str) -> Artifacts:
 
 
 def write_json_documents(df: DataFrame, path: str, files: int) -> str:
-    """Each output file is one JSON array, written row by row."""
+    """Each output file is one JSON array, written row by row; at least ``files``, more where one would exceed :data:`FILE_BYTES`."""
     def lines(batches):
-        yield pd.DataFrame({"value": ["["]})
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
         started = False
         for batch in batches:
-            if len(batch):
-                glued = ("," if started else "") + ",\n".join(batch["value"])
-                started = True
-                yield pd.DataFrame({"value": [glued]})
-        yield pd.DataFrame({"value": ["]"]})
-
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(files)
-    rows.mapInPandas(lines, "value string").write.text(path)
+            if batch.num_rows and not started:
+                # every row brings the comma before it, but for the first of the file
+                first = pa.array([batch.column(0)[0].as_py()[1:]], pa.string())
+                yield pa.RecordBatch.from_arrays([first], names=["value"])
+                batch, started = batch.slice(1), True
+            yield batch
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    rows = df.select(F.concat(F.lit(","), F.to_json(F.struct(*df.columns))).alias("value"))
+    size = rows.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    rows.repartition(max(files, 1 + int(size) // FILE_BYTES)).mapInArrow(lines, "value string").write.text(path)
     return path
 
 

@@ -168,3 +168,21 @@ def test_only_unreadable_content_is_skipped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(rd, "read_any", fails)
     with pytest.raises(RuntimeError):
         rd.ingest(spark, paths[:1])
+
+
+def test_json_documents_grow_in_number(spark, tmp_path, monkeypatch):
+    import json
+
+    from baitlens.sources import writers as wr
+
+    rows = [(i, f"line {i}\n, [\"x\"]" if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(wr, "FILE_BYTES", 200)
+    folder = wr.write_json_documents(df, str(tmp_path / "a.json"), 2)
+    files = [f for f in (tmp_path / "a.json").iterdir() if f.suffix == ".txt"]
+    assert len(files) > 2
+    found = [r for f in files for r in json.loads(f.read_text())]
+    assert sorted((r["id"], r.get("text")) for r in found) == rows
+    nothing = wr.write_json_documents(df.limit(0), str(tmp_path / "b.json"), 2)
+    assert spark.read.option("multiLine", True).schema("id long").json(nothing).count() == 0
+    assert sorted(map(tuple, spark.read.option("multiLine", True).schema("id long, text string").json(folder).collect())) == rows
