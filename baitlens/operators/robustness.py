@@ -115,10 +115,20 @@ def perturbation_sweep(df: DataFrame, features: Sequence[str], scorer: Callable[
                        perturbations: Sequence[Perturbation] = tuple(DETERMINISTIC), threshold: float = 0.5,
                        label: str = "label", max_drop: float = 0.10, keep: Sequence[str] = (),
                        ranking: bool = True) -> DataFrame:
-    """Metrics per perturbation with the accuracy lost against the baseline and the verdict."""
-    scored = scorer(perturb(df, features, perturbations, [label, *keep]))
+    """Metrics per perturbation with the accuracy lost against the baseline and the verdict.
+
+    A perturbation that changes none of the features has the baseline's rows, which are scored once for all of these.
+    """
+    idle = [p for p in perturbations if not p.all_columns and not set(p.changes) & set(features)]
+    scored = scorer(perturb(df, features, [p for p in perturbations if not any(p is i for i in idle)], [label, *keep]))
     scored = scored.withColumn("score", clip_probability(F.col("score")))
     table = metrics_row(scored, threshold, ["suite", "perturbation"], label=label, ranking=ranking)
+    if idle:
+        own = F.struct("suite", "perturbation")
+        same = [F.struct(F.lit(p.suite).alias("suite"), F.lit(p.name).alias("perturbation")) for p in idle]
+        baseline = (F.col("suite") == "baseline") & (F.col("perturbation") == "none")
+        rows = table.withColumn("_name", F.explode(F.when(baseline, F.array(own, *same)).otherwise(F.array(own))))
+        table = rows.select(*[F.col(f"_name.{c}") if c in ("suite", "perturbation") else F.col(f"`{c}`") for c in table.columns])
     # one row per perturbation
     base = F.max(F.when(F.col("suite") == "baseline", F.col("accuracy"))).over(Window.partitionBy())
     lost = table.withColumn("degradation", base - F.col("accuracy"))

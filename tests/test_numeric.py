@@ -230,3 +230,20 @@ def test_schema_helpers(spark):
     for bad in (df.drop("label"), df.select("label")):
         with pytest.raises(ValueError):
             sh.require_columns(bad)
+
+
+def test_idle_perturbations_are_not_scored_again(features):
+    seen = []
+
+    def watching(df):
+        seen.append(df)
+        return scorer(df)
+
+    suites = rb.random_suites("id", ["url_entropy", "other"])
+    table = rb.perturbation_sweep(features, ["url_entropy", "other"], watching, suites, keep=["id"])
+    rows = {(r["suite"], r["perturbation"]): r.asDict() for r in table.collect()}
+    assert len(rows) == 1 + len(suites)
+    # only the noise changes one of the two features
+    assert seen[0].count() == 2 * 80
+    base = rows["baseline", "none"]
+    assert all(rows["domain_shift", n][c] == base[c] for n in ("financial", "government") for c in base if c not in ("suite", "perturbation"))
