@@ -370,5 +370,5 @@ x AS (SELECT feature, avg((SELECT auc FROM auc WHERE feature = '') - auc) AS per
 SELECT {outputs('feature:s permutation_importance:d permutation_std:d repeats:i')} FROM x""")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     # order keys and line numbers repeat in the table, so the rows are numbered first
-    numbered = od.with_rank(items(spark, sf), ["row_id", "label", *SWEEP_FEATURES], "place").withColumn("row_id", F.col("place")).drop("place")
-    return finish(ex.permutation_importance(materialise(numbered, "numbered-items"), "row_id", SWEEP_FEATURES, linear_scorer))
+    numbered = od.numbered(items(spark, sf), ["row_id", "label", *SWEEP_FEATURES], "row_id", ["label", *SWEEP_FEATURES])
+    return finish(ex.permutation_importance(numbered, "row_id", SWEEP_FEATURES, linear_scorer, position="row_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import with_running_sums
@@ -106,3 +108,90 @@ def grid_confusion(counts: DataFrame, grid: Column, group_by: Sequence[str] = ()
 
 def literal_grid(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+# --- area under ROC without a curve: whole tables of distinct scores ---------------------------------------
+
+#: Rows of a group and class that a task sorts at once, and rows that a range of scores is meant to have.
+HELD_SCORES = 1 << 20
+
+
+def packed_scores(values: np.ndarray) -> bytes:
+    """Distinct values and how often they occur; steps between sorted values, alike bytes side by side, compress well."""
+    distinct, counts = np.unique(values + 0.0, return_counts=True)  # a negative zero is zero
+    bits = distinct.view(np.uint64)
+    steps = bits - np.concatenate([bits[:0], np.zeros(min(1, len(bits)), np.uint64), bits[:-1]])
+    halves = (steps.view(np.uint8).reshape(-1, 8), counts.astype(np.uint32).view(np.uint8).reshape(-1, 4))
+    return b"".join(h.T.tobytes() for h in halves)
+
+
+def unpacked_scores(blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of all blobs and their counts."""
+    values, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for blob in blobs:
+        n = len(blob) // 12
+        data = np.frombuffer(blob, np.uint8)
+        steps = np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+        values.append(np.cumsum(steps, dtype=np.uint64).view(np.float64))
+        counts.append(np.ascontiguousarray(data[8 * n:].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64))
+    distinct, place = np.unique(np.concatenate(values), return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, place, np.concatenate(counts))
+    return distinct, total
+
+
+def packed_ranges(scored: DataFrame, group: str, bounds: Sequence[float], score: str = "score", label: str = "label") -> DataFrame:
+    """``group range pos neg``: the scores of both classes between two bounds, packed inside the tasks."""
+    edges = np.array(bounds, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list] = {}
+
+        def flush(name) -> pa.RecordBatch:
+            values, kind = (np.concatenate(c) for c in zip(*held.pop(name), strict=True))
+            sides = [np.sort(values[kind == k]) for k in (1, 0)]
+            cuts = [[0, *np.searchsorted(side, edges), len(side)] for side in sides]
+            rows = []
+            for r in range(len(edges) + 1):
+                pos, neg = (side[cut[r]: cut[r + 1]] for side, cut in zip(sides, cuts, strict=True))
+                # the first range stands for a group whose rows are in neither class
+                if len(pos) or len(neg) or not r:
+                    rows.append((name, r, packed_scores(pos), packed_scores(neg)))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            codes, values, kind = names.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                here = codes == code
+                held.setdefault(name, []).append((values[here], kind[here]))
+                if sum(len(v) for v, _ in held[name]) >= HELD_SCORES:
+                    yield flush(name)
+        for name in list(held):
+            yield flush(name)
+
+    schema = pa.schema([(group, pa.string()), ("range", pa.int32()), ("pos", pa.binary()), ("neg", pa.binary())])
+    positive = F.col(label) == 1
+    # a row without a label is in neither class
+    kind = F.coalesce(F.when(positive, 1).when(~positive, 0), F.lit(2)).cast("byte")
+    rows = scored.where(F.col(score).isNotNull()).select(F.col(group).cast("string"), F.col(score).cast("double"), kind)
+    return rows.mapInArrow(run, f"`{group}` string, range int, pos binary, neg binary")
+
+
+def range_areas(ranges: DataFrame, group: str) -> DataFrame:
+    """``group roc_auc``: area under ROC, ties halved, from :func:`packed_ranges`; 0 with one class only."""
+    def inside(table: pa.Table) -> pa.Table:
+        pos, n_pos = unpacked_scores(table.column("pos").to_pylist())
+        neg, n_neg = unpacked_scores(table.column("neg").to_pylist())
+        below = np.concatenate([[0], np.cumsum(n_neg)])
+        # twice the pairs in order, so that halves are whole
+        twice = n_pos * (below[np.searchsorted(neg, pos)] + below[np.searchsorted(neg, pos, "right")])
+        row = {group: table.column(group)[0].as_py(), "range": table.column("range")[0].as_py(),
+               "n_pos": int(n_pos.sum()), "n_neg": int(n_neg.sum()), "twice": int(twice.sum())}
+        return pa.Table.from_pylist([row], pa.schema([(group, pa.string()), ("range", pa.int32())] + [(c, pa.int64()) for c in ("n_pos", "n_neg", "twice")]))
+
+    counted = ranges.groupBy(group, "range").applyInArrow(inside, f"`{group}` string, range int, n_pos long, n_neg long, twice long")
+    lower = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = F.col("twice") / 2 + F.col("n_pos") * F.coalesce(F.sum("n_neg").over(lower), F.lit(0))
+    return counted.withColumn("_pairs", pairs).groupBy(group).agg(
+        share(F.sum("_pairs"), F.sum("n_pos") * F.sum("n_neg")).alias("roc_auc"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
-from .curve import score_curve
-from .metrics import confusion, ranking_metrics
-from .ordering import with_rank
+from ..session import broadcast_if_small, discard, materialise
+from .curve import HELD_SCORES, packed_ranges, range_areas
+from .metrics import confusion
+from .ordering import numbered
 from .splits import shuffle_key
 
 
@@ -35,39 +38,131 @@ def merge_importance(features: DataFrame, *tables: DataFrame) -> DataFrame:
     return out.orderBy(*[F.desc_nulls_last(c) for c in order], "feature")
 
 
+#: Rows of a table whose shuffled orders are dealt out in one part; larger tables are dealt out in ``PARTS``, one after the other.
+WHOLE_ROWS = 2_000_000
+PARTS = 4
+#: Rows that are put into shuffled order at once, about.
+BUCKET_ROWS = 65_536
+
+
 def permutation_importance(df: DataFrame, row_id: str, features: Sequence[str],
                            scorer: Callable[[DataFrame], DataFrame], label: str = "label", repeats: int = 10,
-                           seed: int = 42, max_rows: int | None = None) -> DataFrame:
+                           seed: int = 42, max_rows: int | None = None, position: str | None = None) -> DataFrame:
     """Mean loss of ROC-AUC when one feature takes another row's value.
 
     In each repeat a row at position k of the table takes the values of the row at position k of a shuffled order;
-    every feature is exchanged on its own inside one projection, so all features and repeats are scored in one job.
+    every feature is exchanged on its own inside one projection, so all features are scored in one pass. Repeats and parts
+    of the shuffled order come one after the other, and what they wrote is released, so that the disk holds one
+    repeat's scores. ``position`` names a column that counts the rows by ``row_id`` from 1, where there is one.
     """
+    spark = df.sparkSession
     rows = df.select(row_id, label, *features)
     if max_rows is not None:
         rows = rows.orderBy(row_id).limit(max_rows)
-    ranked = with_rank(rows, [row_id], "_pos")
-    repeated = rows.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep"))
-    keyed = repeated.withColumn("_key", shuffle_key(F.concat_ws("|", F.col("_rep"), F.col(row_id)), seed))
-    shuffled = with_rank(keyed, ["_key", row_id], "_pos", ["_rep"]).select(
-        "_rep", F.col(row_id).alias("_donor"), "_pos")
-    donors = shuffled.join(rows.select(F.col(row_id).alias("_donor"), F.struct(*features).alias("_other")), "_donor")
-    paired = ranked.join(donors.select("_rep", "_pos", "_other"), "_pos")
-
-    def exchanged(feature: str) -> Column:
-        cells = [F.col(f"_other.{f}").alias(f) if f == feature else F.col(f) for f in features]
-        return F.struct(F.lit(feature).alias("_feature"), *cells)
-
-    variants = paired.select(label, "_rep", F.explode(F.array(*[exchanged(f) for f in features])).alias("_v"))
-    scored = scorer(variants.select(label, "_rep", "_v.*"))
-    after = ranking_metrics(score_curve(scored, ["_feature", "_rep"], label=label), ["_feature", "_rep"])
-    before = ranking_metrics(score_curve(scorer(rows), label=label)).select("roc_auc").scalar()
-    return after.withColumn("_loss", before - F.col("roc_auc")).groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg("_loss").alias("permutation_importance"), F.stddev_pop("_loss").alias("permutation_std"),
+    if position is None:
+        rows = numbered(rows, [row_id], "_pos")
+    else:
+        rows = df.select(row_id, label, *features, F.col(position).cast("long").alias("_pos"))
+        rows = rows if max_rows is None else rows.where(F.col("_pos") <= max_rows)
+    n = rows.count()
+    bounds = _score_bounds(scorer(rows), n)
+
+    def areas(scores: DataFrame) -> list[tuple[str, float]]:
+        return [tuple(r) for r in range_areas(scores, "_feature").collect()]
+
+    whole = scorer(rows.select(label, *features, F.lit("").alias("_feature")))
+    before = materialise(packed_ranges(whole, "_feature", bounds, label=label), "scores-before", "zstd")
+    base = dict(areas(before)).get("", 0.0)
+    discard(spark, before)
+    losses = []
+    at_once = [list(features)] if n <= WHOLE_ROWS else [[f] for f in features]
+    for rep in range(repeats):
+        stored = []
+        for paired in _shuffled_parts(rows, row_id, label, features, rep, seed, n):
+            scored = scorer(_exchanged(paired, label, features))
+            stored.append(materialise(packed_ranges(scored, "_feature", bounds, label=label), "scores", "zstd"))
+            del paired, scored
+            if n > WHOLE_ROWS:
+                discard(spark)
+        if stored:
+            scores = reduce(DataFrame.unionByName, stored)
+            for names in at_once:
+                losses += [(f, base - a) for f, a in areas(scores.where(F.col("_feature").isin(names)))]
+                if n > WHOLE_ROWS:
+                    discard(spark)
+            del scores
+        discard(spark, *stored)
+    table = spark.createDataFrame(losses, "feature string, loss double")
+    return table.groupBy("feature").agg(
+        F.avg("loss").alias("permutation_importance"), F.stddev_pop("loss").alias("permutation_std"),
         F.count("*").alias("repeats"),
     )
 
 
+def _score_bounds(scored: DataFrame, n: int) -> list[float]:
+    """Scores between which about as many rows lie; they only decide which scores a task sorts."""
+    parts = min(1 + n // HELD_SCORES, 10_000)
+    if parts == 1:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    cuts = scored.agg(F.percentile_approx(F.col("score").cast("double"), shares, 10 * parts)).first()[0]
+    return sorted({c for c in cuts or [] if c == c})
+
+
+def _exchanged(paired: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """``label _feature`` and the features, one of them taken from the other row: each row once per feature."""
+    def variant(feature: str) -> Column:
+        cells = [F.col(f"_other_{f}").alias(f) if f == feature else F.col(f) for f in features]
+        return F.struct(F.lit(feature).alias("_feature"), *cells)
+
+    return paired.select(label, F.explode(F.array(*[variant(f) for f in features])).alias("_v")).select(label, "_v.*")
+
+
+def _shuffled_parts(rows: DataFrame, row_id: str, label: str, features: Sequence[str], rep: int, seed: int,
+                    n: int) -> Iterator[DataFrame]:
+    """Label and features of the row at each position, and as ``_other_...`` those of the row there in the shuffled order.
+
+    The order is that of hexadecimal keys, so the counts of their first digits tell which positions keys of these digits take:
+    only rows that meet are shuffled, and only those of one part of the digits at a time.
+    """
+    digits = 1
+    while n > BUCKET_ROWS * 16 ** digits:
+        digits += 1
+    keyed = rows.withColumn("_key", shuffle_key(F.concat_ws("|", F.lit(rep), F.col(row_id)), seed))
+    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
+    counts = sorted(tuple(r) for r in keyed.groupBy("_bucket").agg(F.count("*")).collect())
+    starts = np.cumsum([1] + [c for _, c in counts])
+    names = pa.array([b for b, _ in counts])
+    parts = np.array_split(np.arange(len(counts)), 1 if n <= WHOLE_ROWS else PARTS)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = np.searchsorted(starts, batch.column("_pos").to_numpy(), "right") - 1
+            yield batch.append_column("_bucket", names.take(pa.array(bucket)))
+
+    def paired(takers: pa.Table, donors: pa.Table) -> pa.Table:
+        key = np.frombuffer(b"".join(donors.column("_key").to_pylist()), ">u8").reshape(-1, 2)
+        order = np.lexsort((donors.column("_pos").to_numpy(), key[:, 1], key[:, 0]))
+        takers = takers.take(np.argsort(takers.column("_pos").to_numpy()))
+        donors = donors.take(order)
+        columns = [takers.column(c) for c in (label, *features)] + [donors.column(f) for f in features]
+        return pa.table(columns, [label, *features, *[f"_other_{f}" for f in features]])
+
+    own = [f"`{c}` {kinds[c]}" for c in (label, *features)]
+    made = ", ".join(own + [f"`_other_{f}` {kinds[f]}" for f in features])
+    for part in parts:
+        if not len(part):
+            continue
+        first, last = int(part[0]), int(part[-1])
+        here = F.col("_pos").between(int(starts[first]), int(starts[last + 1]) - 1)
+        takers = rows.where(here).select(label, *features, "_pos").mapInArrow(placed, ", ".join([*own, "_pos long", "_bucket string"]))
+        # a list of digits, so that the key is made once for the test
+        donors = keyed.where(F.col("_bucket").isin([b for b, _ in counts[first: last + 1]])).select(
+            *features, "_pos", F.unhex("_key").alias("_key"), "_bucket")
+        yield takers.groupBy("_bucket").cogroup(donors.groupBy("_bucket")).applyInArrow(paired, made)
+
+
 def linear_attribution(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     """Mean absolute attribution coef * (x - mean) per feature of a linear model (two aggregate rows)."""
     names = list(coefficients)

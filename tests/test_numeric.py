@@ -1,11 +1,16 @@
 """Profile, drift, vectors, robustness and explanation on small frames."""
 
+import hashlib
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from baitlens.operators import curve as cv
 from baitlens.operators import drift as dr
 from baitlens.operators import explain as ex
+from baitlens.operators import metrics as mt
 from baitlens.operators import profile as pf
 from baitlens.operators import robustness as rb
 from baitlens.operators import schema as sh
@@ -204,6 +209,60 @@ def test_permutation_importance(features):
     assert ex.permutation_importance(features, "id", ["url_entropy"], scorer, repeats=1, max_rows=40).count() == 1
 
 
+def test_permutation_importance_in_parts(spark, monkeypatch):
+    """Parts, buckets and ranges of scores give the plain rule's areas; only one repeat's scores are on disk at a time."""
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 12, size=(700, 2)) / 4 - 1.5
+    labels = (cells[:, 0] + rng.normal(size=700) > 0).astype(int)
+    rows = [(f"r{i:03d}", int(y), float(a), float(b)) for i, (y, (a, b)) in enumerate(zip(labels, cells, strict=True))]
+    frame = spark.createDataFrame(rows, "id string, label int, url_entropy double, other double").repartition(5)
+    monkeypatch.setattr(ex, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(ex, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(ex, "HELD_SCORES", 150)
+    monkeypatch.setattr(cv, "HELD_SCORES", 150)
+    stored, most = [], []
+
+    def materialise(df, name="step", compression=None, real=ex.materialise):
+        stored.append(real(df, name, compression))
+        most.append(sum(os.path.exists(f.inputFiles()[0].removeprefix("file:")) for f in stored if f.inputFiles()))
+        return stored[-1]
+
+    monkeypatch.setattr(ex, "materialise", materialise)
+
+    def add(df):
+        return df.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("url_entropy") + 0.1 * F.col("other")))))
+
+    got = {r["feature"]: r for r in ex.permutation_importance(frame, "id", ["url_entropy", "other"], add, repeats=3).collect()}
+
+    def area(entropy, other):
+        score = 1 / (1 + np.exp(-(entropy + 0.1 * other)))
+        pos, neg = score[labels == 1], score[labels == 0]
+        return ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+
+    losses = {"url_entropy": [], "other": []}
+    for rep in range(3):
+        order = sorted(range(700), key=lambda i: hashlib.md5(f"42|{rep}|{rows[i][0]}".encode()).hexdigest())
+        losses["url_entropy"].append(area(*cells.T) - area(cells[order, 0], cells[:, 1]))
+        losses["other"].append(area(*cells.T) - area(cells[:, 0], cells[order, 1]))
+    for name, values in losses.items():
+        assert got[name]["permutation_importance"] == pytest.approx(np.mean(values), abs=2e-5)
+        assert got[name]["permutation_std"] == pytest.approx(np.std(values), abs=2e-5)
+        assert got[name]["repeats"] == 3
+    assert max(most) <= ex.PARTS and len(stored) == 1 + 3 * ex.PARTS
+
+
+def test_range_areas_edges(spark):
+    """Ties across blocks, both zeros, missing scores and labels, one class only."""
+    rows = [("a", s, y) for s, y in [(0.0, 1), (-0.0, 0), (0.5, 1), (0.5, 0), (2.0, 1), (-3.0, 0), (None, 1), (1.0, None)]]
+    rows += [("b", 1.0, 1), ("b", 2.0, 1), ("c", float("nan"), 1), ("c", 5.0, 0), ("d", 1.0, None)]
+    frame = spark.createDataFrame(rows, "g string, score double, label int").repartition(4)
+    want = {r["g"]: r["roc_auc"] for r in mt.ranking_metrics(cv.score_curve(frame, ["g"]), ["g"]).collect()}
+    for bounds in ([], [0.0], [-1.0, 0.5, 1.5]):
+        got = dict(map(tuple, cv.range_areas(cv.packed_ranges(frame, "g", bounds), "g").collect()))
+        assert got == want
+    assert want == {"a": pytest.approx(7 / 9), "b": 0.0, "c": 1.0, "d": 0.0}
+
+
 def test_explain_tables(spark, features):
     importance = spark.createDataFrame([("url_entropy", 1.0), ("other", 0.0)], "feature string, tree_importance double")
     attribution, merged, errors = ex.explain(features, "id", ["url_entropy", "other"], {"url_entropy": 1.0, "other": 0.0}, scorer, importance, repeats=2)
