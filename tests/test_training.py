@@ -53,6 +53,13 @@ def test_stack_and_cross_validation(table):
     assert summary.first()["roc_auc_mean"] > 0.75
 
 
+def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(table):
+    forest = ml.estimator("RF", TrainingConfig(**SMALL), 160, weight=None)
+    assert forest.getCacheNodeIds()
+    plain = forest.copy({forest.cacheNodeIds: False})
+    assert forest.fit(table).toDebugString.split("\n", 1)[1] == plain.fit(table).toDebugString.split("\n", 1)[1]
+
+
 def test_weights(table):
     balanced = ml.balanced_weights(table).groupBy("label").agg(F.sum("weight").alias("w")).collect()
     assert [r["w"] for r in balanced] == pytest.approx([80.0, 80.0])
