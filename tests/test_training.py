@@ -1,7 +1,10 @@
 """Models, calibration, stacking and the two training paths on small data."""
 
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -60,6 +63,25 @@ def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(table):
     assert forest.fit(table).toDebugString.split("\n", 1)[1] == plain.fit(table).toDebugString.split("\n", 1)[1]
 
 
+def test_stack_fits_side_by_side(table):
+    """Each fit waits until another one runs; the base models of the stack are in the order of their makers."""
+    config, meet = TrainingConfig(**SMALL), threading.Barrier(2, timeout=60)
+
+    class Waiting(Estimator):
+        def __init__(self, inner):
+            super().__init__()
+            self.inner = inner
+
+        def _fit(self, dataset):
+            meet.wait()
+            return self.inner.fit(dataset)
+
+    makers = {n: (lambda n=n: Waiting(ml.estimator(n, config, 160))) for n in ("RF", "LR")}
+    stack = ml.fit_stack(ml.balanced_weights(table), "row_id", "fold", makers)
+    assert stack.names == ["RF", "LR"] and [hasattr(b, "trees") for b in stack.bases] == [True, False]
+    assert ml.probabilities(stack, table, ["row_id"]).where("score BETWEEN 0 AND 1").count() == 160
+
+
 def test_weights(table):
     balanced = ml.balanced_weights(table).groupBy("label").agg(F.sum("weight").alias("w")).collect()
     assert [r["w"] for r in balanced] == pytest.approx([80.0, 80.0])
