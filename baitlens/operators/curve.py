@@ -122,41 +122,53 @@ def packed_scores(values: np.ndarray) -> bytes:
     bits = distinct.view(np.uint64)
     steps = bits - np.concatenate([bits[:0], np.zeros(min(1, len(bits)), np.uint64), bits[:-1]])
     halves = (steps.view(np.uint8).reshape(-1, 8), counts.astype(np.uint32).view(np.uint8).reshape(-1, 4))
-    return b"".join(h.T.tobytes() for h in halves)
+    alike = b"".join(h.T.tobytes() for h in halves)
+    return len(distinct).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(alike, asbytes=True)
 
 
 def unpacked_scores(blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of all blobs and their counts."""
+    """Values of all blobs and their counts; those of a blob are distinct and sorted."""
     values, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
     for blob in blobs:
-        n = len(blob) // 12
-        data = np.frombuffer(blob, np.uint8)
+        n = int.from_bytes(blob[:8], "little")
+        data = np.frombuffer(pa.decompress(blob[8:], 12 * n, "zstd"), np.uint8)
         steps = np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
         values.append(np.cumsum(steps, dtype=np.uint64).view(np.float64))
         counts.append(np.ascontiguousarray(data[8 * n:].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64))
-    distinct, place = np.unique(np.concatenate(values), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, place, np.concatenate(counts))
-    return distinct, total
+    return np.concatenate(values), np.concatenate(counts)
+
+
+def _by_range(values: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """The scores of both classes between two edges each, packed."""
+    sides = [np.sort(values[kind == k]) for k in (1, 0)]
+    cuts = [[0, *np.searchsorted(side, edges), len(side)] for side in sides]
+    for r in range(len(edges) + 1):
+        pos, neg = (side[cut[r]: cut[r + 1]] for side, cut in zip(sides, cuts, strict=True))
+        # the first range stands for a group whose rows are in neither class
+        if len(pos) or len(neg) or not r:
+            yield r, packed_scores(pos), packed_scores(neg)
+
+
+def _kind(label: str) -> Column:
+    positive = F.col(label) == 1
+    # a row without a label is in neither class
+    return F.coalesce(F.when(positive, 1).when(~positive, 0), F.lit(2)).cast("byte")
+
+
+def _range_schema(group: str) -> pa.Schema:
+    return pa.schema([(group, pa.string()), ("range", pa.int32()), ("pos", pa.binary()), ("neg", pa.binary())])
 
 
 def packed_ranges(scored: DataFrame, group: str, bounds: Sequence[float], score: str = "score", label: str = "label") -> DataFrame:
     """``group range pos neg``: the scores of both classes between two bounds, packed inside the tasks."""
-    edges = np.array(bounds, np.float64)
+    edges, schema = np.array(bounds, np.float64), _range_schema(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[object, list] = {}
 
         def flush(name) -> pa.RecordBatch:
             values, kind = (np.concatenate(c) for c in zip(*held.pop(name), strict=True))
-            sides = [np.sort(values[kind == k]) for k in (1, 0)]
-            cuts = [[0, *np.searchsorted(side, edges), len(side)] for side in sides]
-            rows = []
-            for r in range(len(edges) + 1):
-                pos, neg = (side[cut[r]: cut[r + 1]] for side, cut in zip(sides, cuts, strict=True))
-                # the first range stands for a group whose rows are in neither class
-                if len(pos) or len(neg) or not r:
-                    rows.append((name, r, packed_scores(pos), packed_scores(neg)))
+            rows = [(name, *r) for r in _by_range(values, kind, edges)]
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
         for batch in batches:
@@ -170,11 +182,36 @@ def packed_ranges(scored: DataFrame, group: str, bounds: Sequence[float], score:
         for name in list(held):
             yield flush(name)
 
-    schema = pa.schema([(group, pa.string()), ("range", pa.int32()), ("pos", pa.binary()), ("neg", pa.binary())])
-    positive = F.col(label) == 1
-    # a row without a label is in neither class
-    kind = F.coalesce(F.when(positive, 1).when(~positive, 0), F.lit(2)).cast("byte")
-    rows = scored.where(F.col(score).isNotNull()).select(F.col(group).cast("string"), F.col(score).cast("double"), kind)
+    rows = scored.where(F.col(score).isNotNull()).select(F.col(group).cast("string"), F.col(score).cast("double"), _kind(label))
+    return rows.mapInArrow(run, f"`{group}` string, range int, pos binary, neg binary")
+
+
+def packed_columns(scored: DataFrame, scores: dict[str, str], group: str, bounds: Sequence[float], label: str = "label") -> DataFrame:
+    """The same for scores that stand side by side: ``scores`` names the column of each group."""
+    edges, schema = np.array(bounds, np.float64), _range_schema(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            kind = np.concatenate([b.column(0).to_numpy() for b in held])
+            for i, name in enumerate(scores):
+                there = np.concatenate([b.column(i + 1).is_valid().to_numpy(zero_copy_only=False) for b in held])
+                values = np.concatenate([b.column(i + 1).to_numpy(zero_copy_only=False) for b in held])
+                if there.any():
+                    rows = [(name, *r) for r in _by_range(values[there], kind[there], edges)]
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD_SCORES:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    rows = scored.select(_kind(label).alias("_kind"), *[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(scores.values())])
     return rows.mapInArrow(run, f"`{group}` string, range int, pos binary, neg binary")
 
 
@@ -183,7 +220,8 @@ def range_areas(ranges: DataFrame, group: str) -> DataFrame:
     def inside(table: pa.Table) -> pa.Table:
         pos, n_pos = unpacked_scores(table.column("pos").to_pylist())
         neg, n_neg = unpacked_scores(table.column("neg").to_pylist())
-        below = np.concatenate([[0], np.cumsum(n_neg)])
+        order = np.argsort(neg, kind="stable")  # sorted runs, which are merged
+        neg, below = neg[order], np.concatenate([[0], np.cumsum(n_neg[order])])
         # twice the pairs in order, so that halves are whole
         twice = n_pos * (below[np.searchsorted(neg, pos)] + below[np.searchsorted(neg, pos, "right")])
         row = {group: table.column(group)[0].as_py(), "range": table.column("range")[0].as_py(),

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, discard, materialise
-from .curve import HELD_SCORES, packed_ranges, range_areas
+from .curve import HELD_SCORES, packed_columns, packed_ranges, range_areas
+from .exchange import packed_table, shuffled_pairs
 from .metrics import confusion
 from .ordering import numbered
-from .splits import shuffle_key
 
 
 def model_importance(model, features: Sequence[str], spark, original: dict[str, str] | None = None) -> DataFrame:
@@ -43,6 +41,8 @@ WHOLE_ROWS = 2_000_000
 PARTS = 4
 #: Rows that are put into shuffled order at once, about.
 BUCKET_ROWS = 65_536
+#: Features that are scored side by side in one row; of more, each has a row of its own.
+SIDE_BY_SIDE = 8
 
 
 def permutation_importance(df: DataFrame, row_id: str, features: Sequence[str],
@@ -53,7 +53,8 @@ def permutation_importance(df: DataFrame, row_id: str, features: Sequence[str],
     In each repeat a row at position k of the table takes the values of the row at position k of a shuffled order;
     every feature is exchanged on its own inside one projection, so all features are scored in one pass. Repeats and parts
     of the shuffled order come one after the other, and what they wrote is released, so that the disk holds one
-    repeat's scores. ``position`` names a column that counts the rows by ``row_id`` from 1, where there is one.
+    repeat's scores. ``scorer`` adds the column ``score`` and keeps the others. ``position`` names a column that counts the
+    rows by ``row_id`` from 1, where there is one.
     """
     spark = df.sparkSession
     rows = df.select(row_id, label, *features)
@@ -70,28 +71,27 @@ def permutation_importance(df: DataFrame, row_id: str, features: Sequence[str],
     def areas(scores: DataFrame) -> list[tuple[str, float]]:
         return [tuple(r) for r in range_areas(scores, "_feature").collect()]
 
-    whole = scorer(rows.select(label, *features, F.lit("").alias("_feature")))
-    before = materialise(packed_ranges(whole, "_feature", bounds, label=label), "scores-before", "zstd")
+    whole = scorer(rows.select(label, *features))
+    before = materialise(packed_columns(whole, {"": "score"}, "_feature", bounds, label), "scores-before", "none")
     base = dict(areas(before)).get("", 0.0)
     discard(spark, before)
+    packed = packed_table(rows, row_id, list(dict.fromkeys([label, *features])))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     losses = []
-    at_once = [list(features)] if n <= WHOLE_ROWS else [[f] for f in features]
     for rep in range(repeats):
         stored = []
-        for paired in _shuffled_parts(rows, row_id, label, features, rep, seed, n):
-            scored = scorer(_exchanged(paired, label, features))
-            stored.append(materialise(packed_ranges(scored, "_feature", bounds, label=label), "scores", "zstd"))
-            del paired, scored
+        pairs = shuffled_pairs(packed, kinds, [label, *features], features, rep, seed, n, BUCKET_ROWS, 1 if n <= WHOLE_ROWS else PARTS)
+        for paired in pairs:
+            stored.append(materialise(_exchanged_scores(paired, scorer, label, features, bounds), "scores", "none"))
+            del paired
             if n > WHOLE_ROWS:
                 discard(spark)
         if stored:
             scores = reduce(DataFrame.unionByName, stored)
-            for names in at_once:
-                losses += [(f, base - a) for f, a in areas(scores.where(F.col("_feature").isin(names)))]
-                if n > WHOLE_ROWS:
-                    discard(spark)
+            losses += [(f, base - a) for f, a in areas(scores)]
             del scores
         discard(spark, *stored)
+    discard(spark, packed)
     table = spark.createDataFrame(losses, "feature string, loss double")
     return table.groupBy("feature").agg(
         F.avg("loss").alias("permutation_importance"), F.stddev_pop("loss").alias("permutation_std"),
@@ -109,58 +109,22 @@ def _score_bounds(scored: DataFrame, n: int) -> list[float]:
     return sorted({c for c in cuts or [] if c == c})
 
 
-def _exchanged(paired: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """``label _feature`` and the features, one of them taken from the other row: each row once per feature."""
-    def variant(feature: str) -> Column:
-        cells = [F.col(f"_other_{f}").alias(f) if f == feature else F.col(f) for f in features]
-        return F.struct(F.lit(feature).alias("_feature"), *cells)
-
-    return paired.select(label, F.explode(F.array(*[variant(f) for f in features])).alias("_v")).select(label, "_v.*")
-
-
-def _shuffled_parts(rows: DataFrame, row_id: str, label: str, features: Sequence[str], rep: int, seed: int,
-                    n: int) -> Iterator[DataFrame]:
-    """Label and features of the row at each position, and as ``_other_...`` those of the row there in the shuffled order.
-
-    The order is that of hexadecimal keys, so the counts of their first digits tell which positions keys of these digits take:
-    only rows that meet are shuffled, and only those of one part of the digits at a time.
-    """
-    digits = 1
-    while n > BUCKET_ROWS * 16 ** digits:
-        digits += 1
-    keyed = rows.withColumn("_key", shuffle_key(F.concat_ws("|", F.lit(rep), F.col(row_id)), seed))
-    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
-    counts = sorted(tuple(r) for r in keyed.groupBy("_bucket").agg(F.count("*")).collect())
-    starts = np.cumsum([1] + [c for _, c in counts])
-    names = pa.array([b for b, _ in counts])
-    parts = np.array_split(np.arange(len(counts)), 1 if n <= WHOLE_ROWS else PARTS)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket = np.searchsorted(starts, batch.column("_pos").to_numpy(), "right") - 1
-            yield batch.append_column("_bucket", names.take(pa.array(bucket)))
-
-    def paired(takers: pa.Table, donors: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(donors.column("_key").to_pylist()), ">u8").reshape(-1, 2)
-        order = np.lexsort((donors.column("_pos").to_numpy(), key[:, 1], key[:, 0]))
-        takers = takers.take(np.argsort(takers.column("_pos").to_numpy()))
-        donors = donors.take(order)
-        columns = [takers.column(c) for c in (label, *features)] + [donors.column(f) for f in features]
-        return pa.table(columns, [label, *features, *[f"_other_{f}" for f in features]])
-
-    own = [f"`{c}` {kinds[c]}" for c in (label, *features)]
-    made = ", ".join(own + [f"`_other_{f}` {kinds[f]}" for f in features])
-    for part in parts:
-        if not len(part):
-            continue
-        first, last = int(part[0]), int(part[-1])
-        here = F.col("_pos").between(int(starts[first]), int(starts[last + 1]) - 1)
-        takers = rows.where(here).select(label, *features, "_pos").mapInArrow(placed, ", ".join([*own, "_pos long", "_bucket string"]))
-        # a list of digits, so that the key is made once for the test
-        donors = keyed.where(F.col("_bucket").isin([b for b, _ in counts[first: last + 1]])).select(
-            *features, "_pos", F.unhex("_key").alias("_key"), "_bucket")
-        yield takers.groupBy("_bucket").cogroup(donors.groupBy("_bucket")).applyInArrow(paired, made)
+def _exchanged_scores(paired: DataFrame, scorer: Callable[[DataFrame], DataFrame], label: str, features: Sequence[str],
+                      bounds: Sequence[float]) -> DataFrame:
+    """Packed scores by ``_feature``: those of the rows with this feature taken from the other row."""
+    def cells(exchanged: str) -> list[Column]:
+        return [F.col(f"_other_{f}" if f == exchanged else f"_own_{f}").alias(f) for f in features]
+
+    if len(features) > SIDE_BY_SIDE:
+        variants = F.array(*[F.struct(F.lit(f).alias("_feature"), *cells(f)) for f in features])
+        each = paired.select(F.col(f"_own_{label}").alias(label), F.explode(variants).alias("_v")).select(label, "_v.*")
+        return packed_ranges(scorer(each), "_feature", bounds, label=label)
+    scored = paired.withColumnRenamed(f"_own_{label}", label)
+    held = [c for c in scored.columns if c != label]
+    for i, f in enumerate(features):
+        done = [f"_score_{j}" for j in range(i)]
+        scored = scorer(scored.select(label, *held, *done, *cells(f))).select(label, *held, *done, F.col("score").alias(f"_score_{i}"))
+    return packed_columns(scored, {f: f"_score_{i}" for i, f in enumerate(features)}, "_feature", bounds, label)
 
 
 def linear_attribution(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:

@@ -4,11 +4,13 @@ import hashlib
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from baitlens.operators import curve as cv
 from baitlens.operators import drift as dr
+from baitlens.operators import exchange as xc
 from baitlens.operators import explain as ex
 from baitlens.operators import metrics as mt
 from baitlens.operators import profile as pf
@@ -251,6 +253,46 @@ def test_permutation_importance_in_parts(spark, monkeypatch):
     assert max(most) <= ex.PARTS and len(stored) == 1 + 3 * ex.PARTS
 
 
+def test_md5_words_are_the_digests():
+    texts = ["", "|7", "|é–", *(f"|{i}" for i in range(9000)), *("|" + "x" * k for k in range(44, 70))]
+    high, low = xc.md5_words(b"42|0", pa.array(texts)[1:])
+    wanted = [hashlib.md5(("42|0" + t).encode()).hexdigest() for t in texts[1:]]
+    assert [f"{int(h):016x}{int(x):016x}" for h, x in zip(high, low, strict=True)] == wanted
+
+
+def test_shuffled_pairs_follow_the_keys(spark, monkeypatch):
+    """Null and repeated ids, one more row than fits a pack, parts without rows: the rows meet as in a sort of the keys."""
+    monkeypatch.setattr(xc, "PACKED_ROWS", 16)
+    monkeypatch.setattr(xc, "DEALT_ROWS", 40)
+    rows = [(None if i % 9 == 4 else f"r{i // 2}", i % 2, float(i), i + 1) for i in range(97)]
+    frame = spark.createDataFrame(rows, "id string, label int, x double, _pos long").repartition(3)
+    packed = xc.packed_table(frame, "id", ["label", "x"])
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
+    parts = [[tuple(r) for r in p.collect()] for p in xc.shuffled_pairs(packed, kinds, ["label", "x"], ["x"], 3, 42, len(rows), 10, 4)]
+    order = sorted(rows, key=lambda r: (hashlib.md5(("42|3" + ("" if r[0] is None else f"|{r[0]}")).encode()).hexdigest(), r[3]))
+    assert len(parts) == 4 and sorted(sum(parts, []), key=lambda r: r[1]) == [(r[1], r[2], d[2]) for r, d in zip(rows, order, strict=True)]
+
+
+def test_permutation_importance_scores_a_row_once(spark):
+    """Features are scored side by side; with more of them than stand in a row, each has a row. Both give the same."""
+    names = [f"f{i}" for i in range(ex.SIDE_BY_SIDE + 1)]
+    rng = np.random.default_rng(11)
+    cells = rng.normal(size=(60, len(names)))
+    rows = [(i, int(c[0] + c[1] > 0), *map(float, c)) for i, c in enumerate(cells)]
+    frame = spark.createDataFrame(rows, "id int, label int, " + ", ".join(f"{c} double" for c in names))
+    sizes = []
+
+    def first_two(df):
+        scored = df.withColumn("score", F.col("f0") + F.col("f1"))
+        sizes.append(scored.columns.count("_feature"))
+        return scored
+
+    few, many = ({r["feature"]: r["permutation_importance"] for r in ex.permutation_importance(frame, "id", c, first_two, repeats=2).collect()}
+                 for c in (names[:-1], names))
+    assert sizes[:len(names) + 1].count(1) == 0 and 1 in sizes
+    assert many == pytest.approx(few | {names[-1]: 0.0}, abs=1e-12)
+
+
 def test_range_areas_edges(spark):
     """Ties across blocks, both zeros, missing scores and labels, one class only."""
     rows = [("a", s, y) for s, y in [(0.0, 1), (-0.0, 0), (0.5, 1), (0.5, 0), (2.0, 1), (-3.0, 0), (None, 1), (1.0, None)]]
